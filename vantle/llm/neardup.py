@@ -4,10 +4,13 @@ A document's set is its distinct five-word shingles. Equal sets form a class at
 are cut into bands for candidates, and folded into an odd sketch: a bitmap of parities, where the number of ones in
 the XOR of two sketches tells the size of the samples' symmetric difference, most precisely where similarity is high.
 
-Links are found without all pairs of a group. Each bucket names a pivot, and each member is first confirmed against
-its most similar pivot, then against its other pivots where these lie in another component. What still lies in
-several components of one bucket is compared sketch by sketch, in blocks of bounded size, and every pair that a link
-could hide in is confirmed, a few for each member at first and then all. Only then is a bucket done.
+Links are found without all pairs of a group. Each bucket names a pivot, and each member is confirmed against its
+pivots. What then still lies in several components of one bucket is compared sketch by sketch, in blocks of bounded
+size, and every pair that a link could hide in is confirmed, a few for each member at first and then all. Only then is
+a bucket done.
+
+A second bitmap of parities is folded from the whole set. The ones in an XOR of two never outnumber the elements in
+which the sets differ, so it rules out, with certainty, most pairs of a large group that lie a little below 0.75.
 
 With 32 bands of 4 samples, a pair at the similarity of 0.75 is missed with probability 0.684**32 = 5e-6, and the
 sketch (estimate below SIFT) hides it with a probability below 1e-5; higher similarities are safer. Confirmation is
@@ -32,6 +35,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 16
+#: Longs of the bitmap folded from the whole set, behind those of the sketch.
+WHOLE_LONGS = 32
 #: Pairs whose estimated similarity is below this aren't confirmed: over four standard deviations below 0.75.
 SIFT = 0.55
 #: Members of a bucket in one block of the comparison sketch by sketch.
@@ -83,6 +88,13 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def whole_parity(found: np.ndarray) -> np.ndarray:
+    """Parities of how many elements of the whole set fall on each bit, as longs."""
+    at = (found >> np.uint64(17)) % np.uint64(64 * WHOLE_LONGS)
+    odd = (np.bincount(at.astype(np.int64), minlength=64 * WHOLE_LONGS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, digest, keys, sketches = [], [], [], []
@@ -93,7 +105,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = samples(found)
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()))
                 keys.append(bands(low))
-                sketches.append(odd_sketch(low))
+                sketches.append(np.concatenate([odd_sketch(low), whole_parity(found)]))
             else:
                 digest.append(None)
                 keys.append(None)
@@ -134,74 +146,93 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
-def _ones(a: str, b: str):
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+def _possible():
+    """Whether the sketches and sizes of a and b leave a link possible."""
+    ones = lambda span: sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in span), F.lit(0))
+    differ, both = ones(range(SKETCH_LONGS, SKETCH_LONGS + WHOLE_LONGS)), F.col("n_a") + F.col("n_b")
+    return (ones(range(SKETCH_LONGS)) <= MOST_ONES) & (DENOMINATOR * (both - differ) >= NUMERATOR * (both + differ))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each (bucket, left, right) of sorted rows."""
+    held: list[dict] = []
+    key = None
+
+    def whole():
+        return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("bucket", "left", "right", "side", "id", "n", "component")}
+        col["sketch"] = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        new = np.flatnonzero((np.diff(col["bucket"]) != 0) | (np.diff(col["left"]) != 0) | (np.diff(col["right"]) != 0)) + 1
+        cuts = [0, *new.tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            mine = (col["bucket"][at], col["left"][at], col["right"][at])
+            if held and mine != key:
+                yield whole()
+                held = []
+            key = mine
+            held.append({k: v[at:end] for k, v in col.items() if k not in ("bucket", "left", "right")})
+    if held:
+        yield whole()
 
 
 def _across(limit: int | None):
-    """Of a block: pairs of different components whose sketches leave a link possible, the limit best of each member."""
-
-    def run(key, pdf):
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        x, y = (np.array(s["sketch"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(s), SKETCH_LONGS) for s in (left, right))
-        cy, iy = right["component"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for k, (i, c) in enumerate(zip(left["id"].to_numpy(), left["component"].to_numpy())):
-            ones = np.bitwise_count(y ^ x[k]).sum(axis=1)
-            good = np.flatnonzero((ones <= MOST_ONES) & (cy != c))
-            cut = limit is not None and len(good) > limit
-            if cut:
-                good = good[np.argsort(ones[good], kind="stable")[:limit]]
-            out += [(min(i, iy[j]), max(i, iy[j]), cut) for j in good]
-        return type(pdf)(out, columns=["a", "b", "cut"])
+    """Of each block: pairs of different components where a link is possible, the limit best of each member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            x, y = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+            part, whole = g["sketch"][y, :SKETCH_LONGS], g["sketch"][y, SKETCH_LONGS:]
+            out: list[tuple] = []
+            for k in x:
+                differ = np.bitwise_count(whole ^ g["sketch"][k, SKETCH_LONGS:]).sum(axis=1, dtype=np.int64)
+                both = g["n"][y] + g["n"][k]
+                good = np.flatnonzero((g["component"][y] != g["component"][k]) & (DENOMINATOR * (both - differ) >= NUMERATOR * (both + differ)))
+                if not len(good):
+                    continue
+                good = good[np.bitwise_count(part[good] ^ g["sketch"][k, :SKETCH_LONGS]).sum(axis=1) <= MOST_ONES]
+                cut = limit is not None and len(good) > limit
+                if cut:
+                    good = good[np.argsort(differ[good], kind="stable")[:limit]]
+                ids, own = g["id"][y[good]], g["id"][k]
+                out.append((np.minimum(ids, own), np.maximum(ids, own), np.full(len(good), cut)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "cut"])
 
     return run
 
 
 def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) over the classes' representatives in signed (id, bands, sketch)."""
+    """(node, component) over the classes' representatives in signed (id, n, bands, sketch)."""
     rows = written(signed.select("id", F.explode("bands").alias("bucket")), "buckets")
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("members")).where("pivot <> last")
-    shared = written(shared, "shared")
-    members = written(rows.join(shared, "bucket").select("bucket", "id", "pivot", "members"), "members")
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    members = written(rows.join(shared.drop("last"), "bucket"), "members")
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sketch = signed.select("id", "sketch")
-    pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-    pairs = pairs.select("a", "b", _ones("sketch_a", "sketch_b").alias("ones")).where(F.col("ones") <= MOST_ONES)
-    pairs = written(pairs, "pairs")
-    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("ones", "a")).alias("a")).select("a", "b")
-    tested = written(confirmed(best, texts), "tested")
+    sketch = signed.select("id", "n", "sketch")
+    pairs = pairs.join(sketch.toDF("a", "n_a", "sketch_a"), "a").join(sketch.toDF("b", "n_b", "sketch_b"), "b")
+    pairs = written(pairs.where(_possible()).select("a", "b"), "pairs")
+    tested = written(confirmed(pairs, texts), "tested")
     found = written(connected_components(tested.where("linked")), "components")
-    more = _apart(pairs.select("a", "b"), found).join(tested, ["a", "b"], "left_anti")
-    again = written(confirmed(more, texts), "tested")
-    if not again.where("linked").isEmpty():
-        tested = tested.union(again)
-        found = written(connected_components(tested.where("linked")), "components")
-    else:
-        tested = tested.union(again)
-    limit: int | None = 4
+    limit: int | None = 16
     while True:
         proposed = _between(members, sketch, found, limit)
         if proposed is None:
             return found
         proposed = written(proposed.groupBy("a", "b").agg(F.max("cut").alias("cut")), "proposed")
-        left = proposed.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        again = written(confirmed(left, texts), "tested")
-        tested = tested.union(again)
-        if not again.where("linked").isEmpty():
-            found = written(connected_components(tested.where("linked")), "components")
+        left = written(proposed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "untested")
+        if not left.isEmpty():
+            again = written(confirmed(left, texts), "tested")
+            tested = tested.union(again)
+            if not again.where("linked").isEmpty():
+                found = written(connected_components(tested.where("linked")), "components")
         if proposed.where("cut").isEmpty():
             return found
         limit = None if limit > 1000 else limit * 16
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far."""
-    side = lambda c: found.toDF(c, f"of_{c}")
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-
 def _between(members: DataFrame, sketch: DataFrame, found: DataFrame, limit: int | None) -> DataFrame | None:
     """Pairs (a, b, cut) across components within buckets, block by block; None if no bucket spans two components.
 
@@ -220,14 +251,15 @@ def _between(members: DataFrame, sketch: DataFrame, found: DataFrame, limit: int
     rows = rows.withColumn("of_main", blocks(F.col("n_main"))).withColumn("of_minor", blocks(F.col("total") - F.col("n_main")))
     span = lambda n: F.sequence(F.lit(0), n - 1)
     mine = lambda n: F.pmod(F.hash("id"), n)
-    keep = ["bucket", "id", "component", "sketch", "side", "left", "right"]
     # blocks of others are at left; at right are blocks of the largest component (from 0) and of others (from -1 down)
-    left = rows.where("minor").withColumn("side", F.lit(0)).withColumn("left", mine(F.col("of_minor")))
-    left = left.withColumn("right", F.explode(F.concat(span(F.col("of_main")), F.transform(span(F.col("of_minor")), lambda k: -1 - k))))
-    main = rows.where("not minor").withColumn("side", F.lit(1)).withColumn("right", mine(F.col("of_main"))).withColumn("left", F.explode(span(F.col("of_minor"))))
-    other = rows.where("minor").withColumn("side", F.lit(1)).withColumn("right", -1 - mine(F.col("of_minor"))).withColumn("left", F.explode(span(F.col("of_minor"))))
-    dealt = left.select(keep).unionByName(main.select(keep)).unionByName(other.select(keep))
-    return dealt.groupBy("bucket", "left", "right").applyInPandas(_across(limit), "a long, b long, cut boolean")
+    both_sides = F.concat(span(F.col("of_main")), F.transform(span(F.col("of_minor")), lambda k: -1 - k))
+    place = lambda side, left, right: F.struct(F.lit(side).alias("side"), left.alias("left"), right.alias("right"))
+    as_left = F.transform(both_sides, lambda k: place(0, mine(F.col("of_minor")), k))
+    as_right = F.transform(span(F.col("of_minor")), lambda k: place(1, k, F.when(F.col("minor"), -1 - mine(F.col("of_minor"))).otherwise(mine(F.col("of_main")))))
+    at = F.explode(F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right))
+    dealt = rows.select("bucket", "id", "n", "component", "sketch", at.alias("at")).select("bucket", "at.*", "id", "n", "component", "sketch")
+    dealt = dealt.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side")
+    return dealt.mapInArrow(_across(limit), "a long, b long, cut boolean")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,14 +271,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = written(signatures(docs), "signatures")
     usable = signed.where("doc_id is not null and digest is not null")
-    classes = usable.groupBy("digest").agg(F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("r"))
-    classes = written(classes.select("digest", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")), "classes")
+    classes = usable.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("r"))
+    classes = written(classes.select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")), "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     #: A representative's text: of rows that repeat its id, one with the class's set
     repeated = not usable.groupBy("doc_id").count().where("count > 1").isEmpty()
     if repeated:
         classes, texts = _told_apart(usable, texts, classes)
-        grouped = links(classes.select("id", "bands", "sketch"), texts)
+        grouped = links(classes.select("id", "n", "bands", "sketch"), texts)
         equal = classes.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
         names = grouped.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
         linked = grouped.join(names, "component").join(classes.select(F.col("id").alias("node"), "doc_id"), "node").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
@@ -255,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         whole = found.toDF("doc_id", "component_id")
         out = signed.join(whole, "doc_id", "left")
     else:
-        found = links(classes.select("id", "bands", "sketch"), texts.withColumnRenamed("doc_id", "id"))
+        found = links(classes.select("id", "n", "bands", "sketch"), texts.withColumnRenamed("doc_id", "id"))
         of_class = classes.select("digest", "id").join(found.toDF("id", "found"), "id", "left").select("digest", F.coalesce("found", "id").alias("component_id"))
         out = signed.join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
