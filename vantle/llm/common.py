@@ -91,3 +91,17 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers."""
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+
+
+#: Bytes up to which a table is sent to every executor; beyond, joins shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if a count of its rows proves it small enough. Count a written table only."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def text_key(column: str = "text"):
+    """A 16-byte key of a text, computed on the JVM; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")))
