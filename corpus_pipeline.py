@@ -1,11 +1,71 @@
-"""Corpus preparation: language, near duplicates, decontamination, personal data, packing."""
+"""Corpus preparation: language, near duplicates, decontamination, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the columns of documents; the last
+returns packed pieces. Stages can be written and read again between each other.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vantle.llm import decontam, langid, neardup, packing, pii
+from vantle.llm.common import sized, written
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids (doc_id); rows with a null id stay."""
+    return docs.join(sized(written(ids.distinct(), "gone"), 8), "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language. Null texts and texts without a letter go."""
+    langs, net = langid.fit(docs.select("doc_id", "text", "lang"))
+    names = docs.columns
+    found = langid.predict(docs.toDF(*(f"c{i}" for i in range(len(names)))), langs, net, f"c{names.index('text')}")
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score").toDF(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; rows that repeat an id count once."""
+    found = written(neardup.near_duplicates(docs.select("doc_id", "text")), "groups")
+    kept = _without(docs, found.where(~F.col("kept")).select("doc_id"))
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.contaminated(docs, benchmark).select("doc_id"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind in brackets in the place of each piece of personal data."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+#: The stages learn a network, hash and tokenize, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each stage's result written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
