@@ -39,12 +39,24 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantle.llm.secret_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantle.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantle.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("capture")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
