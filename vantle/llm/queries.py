@@ -39,6 +39,12 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantle.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantle.llm.secret_scan import digest, scan
 
