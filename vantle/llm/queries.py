@@ -27,6 +27,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantle.llm.substrings import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantle.llm.decontam import contaminated
 
