@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vantle.plans import catalog, vector_plans  # noqa: F401
+from vantle.plans import catalog, dataset_plans, vector_plans  # noqa: F401
 
 
 def queries() -> dict:
