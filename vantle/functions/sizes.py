@@ -27,7 +27,7 @@ def readable(size: Column) -> Column:
     out = F.format_string("%d B", size.cast("long"))
     for i, unit in enumerate(READABLE):
         if i:
-            out = F.when(size >= 1024**i, F.concat(F.format_string("%.2f", size / float(1024**i)), F.lit(f" {unit}"))).otherwise(out)
+            out = F.when(size >= 1024**i, F.concat(F.format_string("%.2f", F.bround(size / float(1024**i), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
