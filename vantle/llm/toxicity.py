@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import held_out_column
+from vantle.llm.common import held_out_column, written
 
 #: At most about so many labelled rows are learned from, and so many words become features.
 SAMPLE_DOCS, FEATURES = 12_000, 256
@@ -140,39 +140,35 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], sample_docs: int
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_docs / total)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample of ids is bounded by sample_docs, so it may be broadcast
-    rows = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_worded(model), "toxic int, words array<string>").toPandas()
-    rows = [(int(y), frozenset(w)) for y, w in zip(rows["toxic"], rows["words"])]
-    rows = sorted(set(rows), key=lambda r: (r[0], len(r[1]), min(r[1], default="")))  # copies count once
-    return train(rows)
-
-
-def train(rows: list[tuple[int, frozenset]]) -> dict[str, float]:
-    """Logistic regression with a ridge, by Newton steps, over the words that speak most for a label of 1."""
-    y = np.array([r[0] for r in rows], dtype=np.float64)
-    pos, neg = int(y.sum()), int(len(y) - y.sum())
+    rows = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_worded(model), "toxic int, words array<string>")
+    rows = written(rows.withColumn("copy", F.xxhash64("words")).dropDuplicates(["toxic", "copy"]), "sample")  # copies count once
+    neg, pos = ((rows.where(F.col("toxic") == y).count()) for y in (0, 1))
     if not pos or not neg:
         return {"": 6.0 if pos else -6.0}
-    tox: dict[str, int] = {}
-    clean: dict[str, int] = {}
-    for label, words in rows:
-        into = tox if label else clean
-        for w in words:
-            into[w] = into.get(w, 0) + 1
-    least = max(3, math.ceil(0.01 * pos))
-    rate = {w: (n / pos) / ((clean.get(w, 0) + 0.5) / neg) for w, n in tox.items() if n >= least and len(w) > 1}
-    chosen = sorted((w for w, r in rate.items() if r >= 4), key=lambda w: (-tox[w] * math.log(rate[w]), w))[:FEATURES]
-    place = {w: i + 1 for i, w in enumerate(chosen)}
-    x = np.zeros((len(rows), len(chosen) + 1))
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("tox"), F.count("*").alias("n"))
+    rate = (F.col("tox") / pos) / ((F.col("n") - F.col("tox") + 0.5) / neg)
+    chosen = counts.where((F.col("tox") >= max(3, math.ceil(0.01 * pos))) & (F.length("word") > 1) & (rate >= 4))
+    # a top-k of features: the words that speak most for a label of 1
+    words = [r["word"] for r in chosen.orderBy(F.desc(F.col("tox") * F.log(rate)), "word").limit(FEATURES).select("word").collect()]
+    held = F.array_intersect("words", F.array(*map(F.lit, words))) if words else F.expr("cast(array() as array<string>)")
+    found = sorted((r["toxic"], sorted(r["held"])) for r in rows.select("toxic", held.alias("held")).collect())
+    return train(found, words)
+
+
+def train(rows: list[tuple[int, list[str]]], words: list[str]) -> dict[str, float]:
+    """Logistic regression with a ridge, by Newton steps, over which of the words each row holds."""
+    y = np.array([r[0] for r in rows], dtype=np.float64)
+    place = {w: i + 1 for i, w in enumerate(words)}
+    x = np.zeros((len(rows), len(words) + 1), dtype=np.float32)
     x[:, 0] = 1
-    for i, (_, words) in enumerate(rows):
-        for w in place.keys() & words:
-            x[i, place[w]] = 1
+    for i, (_, own) in enumerate(rows):
+        x[i, [place[w] for w in own]] = 1
     beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.5)
     ridge[0] = 1e-6
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         weight = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * weight[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve((x * weight[:, None].astype(np.float32)).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-6:
             break
