@@ -1,0 +1,88 @@
+"""Encoders and poolings behind registries; only a deterministic stub encoder comes with the library."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+_encoders: dict[str, Callable] = {}
+_poolings: dict[str, Callable] = {}
+
+
+def _register(into: dict[str, Callable], name: str):
+    def add(f):
+        key = name.lower()
+        if key in into:
+            raise ValueError(f"{name} is registered already")
+        into[key] = f
+        return f
+
+    return add
+
+
+def register_encoder(name: str):
+    return _register(_encoders, name)
+
+
+def register_pooling(name: str):
+    return _register(_poolings, name)
+
+
+def _find(into: dict[str, Callable], name: str):
+    if name.lower() not in into:
+        raise ValueError(f"unknown {name}; there are {', '.join(sorted(into))}")
+    return into[name.lower()]
+
+
+def create_encoder(name: str, **settings):
+    return _find(_encoders, name)(**settings)
+
+
+def get_pooling(name: str):
+    return _find(_poolings, name)
+
+
+def available() -> dict[str, list[str]]:
+    return {"encoders": sorted(_encoders), "poolings": sorted(_poolings)}
+
+
+@register_pooling("meanP")
+def mean_pool(frames: np.ndarray) -> np.ndarray:
+    """Rows to unit length, mean, to unit length."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), np.finfo(np.float32).eps)
+    return unit(unit(frames.astype(np.float32)).mean(axis=0))
+
+
+@register_encoder("stub")
+class StubEncoder:
+    """Four numbers a frame: 1, the frame's mean, 0, 0."""
+
+    dimension = 4
+
+    def embed(self, frames: np.ndarray) -> np.ndarray:
+        return np.stack([np.array([1.0, f.mean(), 0.0, 0.0], dtype=np.float32) for f in frames])
+
+
+def encode_items(items: DataFrame, decode: Callable, encoder: str = "stub", pooling: str = "meanP") -> DataFrame:
+    """(row_index, video_id, embedding, error): items decoded, encoded and pooled; a bad one gives an error row.
+
+    decode(path) returns frames. The encoder is made once in each worker, not once a row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, pool = create_encoder(encoder), get_pooling(pooling)
+        for pdf in batches:
+            vectors, errors = [], []
+            for path in pdf["path"]:
+                try:
+                    vectors.append(pool(model.embed(decode(path))).tolist())
+                    errors.append(None)
+                except Exception as problem:  # one bad item must not end the build
+                    vectors.append(None)
+                    errors.append(str(problem))
+            yield pdf[["row_index", "video_id"]].assign(embedding=vectors, error=errors)
+
+    return items.select("row_index", "video_id", "path").mapInPandas(run, "row_index long, video_id string, embedding array<float>, error string")
