@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word table before it starts anew; bounds its memory to about 60 MB.
-WORD_TABLE = 400_000
+#: Entries of a worker's word table before it starts anew; bounds its memory to about 30 MB.
+WORD_TABLE = 200_000
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -24,7 +24,7 @@ WINDOW = 2048
 #: Documents in a packing group, on average.
 GROUP_DOCS = 20_000
 #: Entries of a worker's table of tokenized words before it starts anew.
-WORD_TABLE = 900_000
+WORD_TABLE = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_key long"
 
