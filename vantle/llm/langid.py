@@ -22,7 +22,8 @@ WINDOW = 256
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 #: At most about so many labelled documents are learned from, and so many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 2
-EPOCHS, BATCH, RATE = 4, 64, 0.006
+#: Passes over the sample, and training steps that small samples get at least.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 300, 64, 0.006
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -88,7 +89,7 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: int, seed: int = 7)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)))):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
