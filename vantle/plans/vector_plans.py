@@ -105,10 +105,10 @@ _EXACT = f"round({_DOT.format('a.embedding', 'b.embedding')}, 9)"
 _TOP = "SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({source})) WHERE rank <= {k}"
 
 
-@query("SELECT query_id, item_id, round(score, 6) AS score, rank FROM (" + _TOP.format(source=_ALL.format(score=_EXACT), k=10) + ")")
+@query(_TOP.format(source=_ALL.format(score=_EXACT), k=10))
 def q12_batch_topk(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
-    return search.batch_topk(rows, rows, 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return search.batch_topk(rows, rows, 10)
 
 
 _INT8 = f"list_transform({_CODES}, lambda q: q::DOUBLE * {_SCALE}::DOUBLE)"
@@ -175,11 +175,11 @@ def q15_compare_packings(spark, sf_dir):
 
 @query(f"""WITH cand AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rk FROM
  (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_HAMMING.format('a.embedding', 'b.embedding')} AS s FROM embeddings a, embeddings b)) WHERE rk <= 100)
- SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM
+ SELECT query_id, item_id, score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM
  (SELECT c.query_id, c.item_id, {_EXACT} AS score FROM cand c JOIN embeddings a ON a.vec_id = c.query_id JOIN embeddings b ON b.vec_id = c.item_id)) WHERE rank <= 10""")
 def q16_rerank(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
-    return search.rerank(rows, rows, 100, 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return search.rerank(rows, rows, 100, 10)
 
 
 @query("""WITH f AS (SELECT label, (UNNEST(range(64)))::BIGINT AS pos, UNNEST(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))) AS x FROM embeddings),
