@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a worker's word table before it starts anew; bounds its memory to about 30 MB.
 WORD_TABLE = 200_000
+#: Rows and bytes of a batch that goes to a Python worker at once; they bound its memory, whatever the texts' lengths.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,12 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches are as BATCHES says, unless it has sizes of its own."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs nothing.
 
     The table is removed when the process ends.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
@@ -92,7 +102,6 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-
 #: Bytes up to which a table is sent to every executor; beyond, joins shuffle.
 BROADCAST_BYTES = 16 << 20
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import held_out_column
+from vantle.llm.common import bounded, held_out_column
 
 WINDOW = 256
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
@@ -121,6 +121,7 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], ByteNet | None]:
     """Languages and a network from (doc_id, text, lang): rows that aren't held out and have a language."""
+    bounded(labelled.sparkSession)
     known = labelled.where("lang is not null").where(~held_out_column())
     total = known.count()
     if total > sample_docs:
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, langs: list[str], net: ByteNet | None, text: str =
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    bounded(docs.sparkSession)
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(_predict(langs, net, docs.columns.index(text)), schema)
 

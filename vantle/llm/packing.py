@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vantle.llm.common import bounded
+
 WINDOW = 2048
 #: Documents in a packing group, on average.
 GROUP_DOCS = 20_000
 #: Entries of a worker's table of tokenized words before it starts anew.
-WORD_TABLE = 500_000
+WORD_TABLE = 200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_key long"
 
@@ -177,6 +179,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: in
     tokenizer is the vocabulary's file, ranks the same vocabulary's rank file (optional, for speed). A null text counts
     as empty: such a document is its end id alone. keep_ids adds the ids themselves (binary).
     """
+    bounded(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(_cut(tokenizer, ranks, window, end_id, keep_ids), PIECES + (", ids binary" if keep_ids else ""))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import held_out_column, written
+from vantle.llm.common import bounded, held_out_column, written
 
 #: At most about so many labelled rows are learned from, and so many words become features.
 SAMPLE_DOCS, FEATURES = 12_000, 256
@@ -52,6 +52,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def language_model(docs: DataFrame) -> list[float]:
     """Log-probability of each character after the two before it, from all texts of docs; 22 thousand numbers."""
+    bounded(docs.sparkSession)
     found = docs.select(F.col("text").cast("string")).mapInArrow(_trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full(ALPHABET**3, 0.1)
     counts[found["trigram"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
