@@ -120,6 +120,27 @@ def test_shared_passages(docs, none):
     assert substrings.chains([(0, 0), (5, 5), (9, 3), (10, 10)])[0] == [(0, 0), (5, 5), (10, 10)]
 
 
+def test_passages_whose_parts_others_share(spark):
+    """Against brute force over all runs of 50 words: a passage's halves are also in the first and the last text."""
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"v{rng.integers(0, 10**9)}" for _ in range(n)]
+    shared = [new(60) for _ in range(8)]
+    texts = [sum((p[:32] + new(9) for p in shared), new(20))]
+    for p in shared:
+        texts += [new(15) + p + new(int(rng.integers(5, 40))) for _ in range(2)]
+    texts += [new(80), new(30) + shared[0][:40] + new(30), sum((p[28:] + new(9) for p in shared), new(20))]
+    holders = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    expected = {i for h in holders.values() if len(h) > 1 for i in h}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    found = rows_of(substrings.shared_passages(df))
+    assert len(expected) == 16 and {r["doc_id"] for r in found} | {r["other_id"] for r in found} == expected
+    assert all(r["end_word"] - r["start_word"] >= 60 for r in found)
+    assert substrings.uncovered(np.array([0, 9, 18, 40]), np.array([0]), np.array([16])).tolist() == [False, False, True, False]
+
+
 def test_decontamination(docs, none, benchmark):
     found = rows_of(decontam.contaminated(docs, benchmark))
     assert [(r["doc_id"], r["item_id"], r["n_equal"]) for r in found] == [(13, 0, 20)]
