@@ -17,14 +17,16 @@ WORD_TABLE = 200_000
 #: Rows and bytes of a batch that goes to a Python worker at once; they bound its memory, whatever the texts' lengths.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _written: list[tuple[SparkSession, str]] = []
+_own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vantle-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:  # a running session refuses a new value of this setting
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="vantle-"))
+        found = _own_dir[0]
     return found.rstrip("/")
 
 
