@@ -141,6 +141,38 @@ def test_passages_whose_parts_others_share(spark):
     assert substrings.uncovered(np.array([0, 9, 18, 40]), np.array([0]), np.array([16])).tolist() == [False, False, True, False]
 
 
+@pytest.mark.parametrize("kind", ["every 4", "every 5", "every 6", "random 10", "random 20", "random 25"])
+def test_fuzzy_passages_are_found(spark, kind):
+    """Planted in unlike words, two texts each: 60 to 400 words, every k-th or a random share of them changed."""
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"v{rng.integers(0, 10**9)}" for _ in range(n)]
+    texts, how = [], kind.split()
+    for size in (60, 80, 120, 400) * 5:
+        passage = new(size)
+        k = int(how[1])
+        at = range(k - 1, size, k) if how[0] == "every" else rng.choice(size, size * k // 100, replace=False)
+        changed = list(passage)
+        for i in at:
+            changed[i] = new(1)[0]
+        texts += [new(30) + passage + new(40), new(50) + changed + new(20)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = rows_of(substrings.shared_passages(df))
+    assert all(r["doc_id"] // 2 == r["other_id"] // 2 and 4 * r["n_equal"] >= 3 * (r["end_word"] - r["start_word"]) for r in found)
+    assert {r["doc_id"] for r in found} | {r["other_id"] for r in found} == set(range(len(texts)))
+
+
+def test_passages_apart_are_each_found():
+    """Two alike passages with other words between them, too many for one passage."""
+    rng = np.random.default_rng(12)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    one, two = new(60), new(60)
+    a, b = np.concatenate([one, new(38), two]), np.concatenate([one, new(38), two])
+    b[4:60:5], b[102::5] = new(12)[: len(b[4:60:5])], new(12)[: len(b[102::5])]
+    places = [(int(p), int(p)) for p in np.flatnonzero(substrings.seeds(a)[0] == substrings.seeds(b)[0])]
+    found = sorted(substrings.passages(a, b, places))
+    assert len(found) == 2 and found[0][1] <= 70 and found[1][0] >= 88
+
+
 def test_decontamination(docs, none, benchmark):
     found = rows_of(decontam.contaminated(docs, benchmark))
     assert [(r["doc_id"], r["item_id"], r["n_equal"]) for r in found] == [(13, 0, 20)]
