@@ -161,6 +161,24 @@ def test_fuzzy_passages_are_found(spark, kind):
     assert {r["doc_id"] for r in found} | {r["other_id"] for r in found} == set(range(len(texts)))
 
 
+@pytest.mark.parametrize("around", [1, 3])
+def test_fuzzy_passages_whose_parts_others_share(spark, around):
+    """Two words in 30 differ, and each part between is also alone in texts before and after the two."""
+    rng = np.random.default_rng(13)
+    new = lambda n: [f"v{rng.integers(0, 10**9)}" for _ in range(n)]
+    one = new(200)
+    two = list(one)
+    two[28::30], two[29::30] = new(6), new(6)
+    parts = [one[k : k + 28] for k in range(0, 200, 30)]
+    alone = lambda: [new(40) + p + new(40) for p in parts for _ in range(around)]
+    before = alone()
+    texts = [*before, new(30) + one + new(30), new(50) + two + new(10), *alone()]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    found = rows_of(substrings.shared_passages(df))
+    assert {r["doc_id"] for r in found} == {len(before), len(before) + 1}
+    assert all(r["end_word"] - r["start_word"] == 200 and r["n_equal"] == 188 for r in found)
+
+
 def test_passages_apart_are_each_found():
     """Two alike passages with other words between them, too many for one passage."""
     rng = np.random.default_rng(12)
