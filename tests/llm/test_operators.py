@@ -212,6 +212,22 @@ def test_personal_data(docs, none):
     assert clean[11] == "mail [EMAIL] or [IP] or [CARD] or [PHONE]." and clean[4] is None
 
 
+def test_unseen_identifiers_in_seeded_contexts(spark):
+    """Forms that no base pattern has, some with spaces or letters, behind words that stand before seeds elsewhere."""
+    unseen = ["132-555-1352", "(212) 555-1352", "078-05-1120", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "AB-1234567", "4111 1111 1111 1112", "user@localhost"]
+    before = ["phone: ", "phone: ", "phone is ", "account ", "account ", "phone=", "account:", "mail "]
+    texts = [f"{prose(i, 5)} phone: +1 (132) 555-{1000 + i}; {prose(i, 3)} phone=+44 20 7946 {1000 + i}. phone is +49 30 9018{1000 + i}" for i in range(30)]
+    cards = [d for d in map(str, range(4000000000000000, 4000000000000300)) if pii.luhn(d)]
+    texts += [f"{prose(i, 4)} account {card}, {prose(i, 2)} account:{card[:-4]}-{card[-4:]} mail a{i}@example.com" for i, card in enumerate(cards)]
+    texts += [f"{prose(i, 4)} {b}{u}, {prose(i + 50, 3)} number {70000 + i}" for i, (b, u) in enumerate(zip(before, unseen))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"].startswith("ctx-")] for r in pii.find(df).collect()}
+    n = len(texts) - len(unseen)
+    assert [added[n + i] for i in range(len(unseen))] == [[u] for u in unseen] and not any(added[i] for i in range(n))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert not any(u in clean[n + i] for i, u in enumerate(unseen)) and all(f"number {70000 + i}" in clean[n + i] for i in range(len(unseen)))
+
+
 def test_media(docs, none):
     found = rows_of(media.media_features(docs))
     assert len(found) == docs.count()

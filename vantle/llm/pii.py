@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and contextual patterns bootstrapped from what these find.
 
-The base entities are seeds. The words before a seed and its shape make lexical patterns; the same patterns occur
-before other identifier-shaped tokens. Spark scores the graph of patterns and instances in turns: a pattern is as good
+The base entities are seeds. The words before a seed make lexical patterns; the same words occur before other tokens or
+groups of tokens with digits or an at sign, of whatever shape. Spark scores the graph of patterns and instances in turns: a pattern is as good
 as the instances it finds, an instance as good as the patterns that find it. Patterns of high confidence with enough
 distinct seeds then add the unseen identifiers that they find.
 """
@@ -21,7 +21,7 @@ from vantle.llm.common import sized, text_key, written
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring, and what a pattern needs to add spans: confidence and distinct seeds.
 TURNS, CONFIDENCE, LEAST_SEEDS = 3, 0.8, 5
-#: Longest identifier-shaped token that may become a candidate; longer ones are data, not identifiers.
+#: Longest identifier that may become a candidate; longer ones are data, not identifiers.
 LONGEST = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +31,11 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: A token with a digit or an at sign, and the groups of digits and capitals after it: spaced phones, cards, IBANs.
+_TOKEN = re.compile(
+    r"(?<!\S)(\S*[0-9@]\S*)(?:(?<=[0-9A-Z)]) (?:[A-Z]{2,4} )?[(]?[0-9A-Z]*[0-9][0-9A-Z]*[)]?(?:[-./][0-9A-Z]+)*(?=$|\s|[.,;:!?)\]}\"'<])){0,8}"
+)
+_LABEL = re.compile(r"[A-Za-z_]+[:=](?!/)")
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
 
@@ -79,14 +83,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def shape(value: str) -> str:
-    """Digits become 9, letters a, in runs up to four long."""
-    kinds = ["9" if c.isdigit() else "a" if c.isalpha() else c for c in value]
-    out: list[str] = []
-    for k in kinds:
-        if out[-4:] != [k] * 4:
-            out.append(k)
-    return "".join(out)
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of identifiers outside the spans taken, which are sorted."""
+    at, n = 0, 0
+    while m := _TOKEN.search(text, at):
+        start, end = m.span()
+        if end - start > LONGEST:
+            end = m.end(1)
+        while n < len(taken) and taken[n][1] <= start:
+            n += 1
+        met = min((x for x in taken[n : n + 8] if x[0] < end and start < x[1]), default=None)
+        if met and (met[0] <= start or not text[met[0] - 1].isspace()):  # on behind the token where the span ends
+            at = met[1]
+            while at < len(text) and not text[at].isspace():
+                at += 1
+            continue
+        at = end = met[0] if met else end
+        value = text[start:end]
+        if label := _LABEL.match(value.lstrip(_EDGES)):
+            start += len(value) - len(value.lstrip(_EDGES)) + label.end()
+            value = text[start:end]
+        start += len(value) - len(value.lstrip(_EDGES))
+        end = start + len(text[start:end].rstrip(_EDGES + " "))
+        if start and text[start - 1] == "(" and text.find(")", start, end) >= 0:
+            start -= 1
+        if 5 <= end - start <= LONGEST:
+            yield start, end
 
 
 def _words_before(text: str, start: int) -> list[str]:
@@ -94,8 +116,8 @@ def _words_before(text: str, start: int) -> list[str]:
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of an identifier: one or two words before it, and its shape."""
-    before, form = _words_before(text, start), shape(text[start:end])
+    """Lexical patterns of an identifier: one or two words before it, and whether it holds an at sign."""
+    before, form = _words_before(text, start), "@" if "@" in text[start:end] else "9"
     return [f"{' '.join(before[-n:])} {form}" for n in (1, 2) if len(before) >= n and before[-1]]
 
 
@@ -110,15 +132,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
             items = [(s, e, k) for s, e, k in found]
             if _DIGIT.search(text) or "@" in text:
-                taken = sorted(found)
-                n = 0
-                for m in _TOKEN.finditer(text):
-                    start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGES))
-                    end = m.end() - (len(m[0]) - len(m[0].rstrip(_EDGES)))
-                    while n < len(taken) and taken[n][1] <= start:
-                        n += 1
-                    if 5 <= end - start <= LONGEST and not any(s < end and start < e for s, e, _ in taken[n : n + 8]):
-                        items.append((start, end, None))
+                items += [(s, e, None) for s, e in candidates(text, sorted(found))]
             instances.append(
                 [{"start": s, "end": e, "kind": k, "value": xxhash.xxh3_64_intdigest(text[s:e].lower()) - 2**63, "patterns": p} for s, e, k in items if (p := _contexts(text, s, e))]
             )
