@@ -201,6 +201,13 @@ def test_decontamination(docs, none, benchmark):
     assert decontam.best_overlap(changed, item, np.array([0])) == (0, 20, 18)
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    items = spark.createDataFrame([(0, "Who wrote Zork?"), (1, "法国的首都是哪里？"), (2, "水的沸点？"), (3, "日本で一番高い山は何ですか"), (4, "nobody"), (5, "?")], "item_id long, text string")
+    texts = [f"{prose(1, 9)} who wrote zork, {prose(2, 3)}", "我们问：法国的首都是哪里呢。", "水的沸点", "wrote who zork 水的冰点", f"{prose(3, 20)} 日本で一番高い山は何ですか。", "Nobody"]
+    found = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_equal"]) for r in found) == [(0, 0, 3), (1, 1, 8), (2, 2, 4), (4, 3, 13), (5, 4, 1)]
+
+
 def test_personal_data(docs, none):
     found = {r["doc_id"]: r for r in rows_of(pii.digest(pii.find(docs)))}
     text = next(r["text"] for r in docs.collect() if r["doc_id"] == 11)

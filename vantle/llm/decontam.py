@@ -3,11 +3,13 @@
 Every mask hashes the tokens at its care positions, so a substitution at another position leaves the hash alone. Test
 hashes make a Bloom filter of fixed size; document positions that pass it join the test hashes in Spark, and the
 diagonals of the joined hits are verified token by token, with substitutions allowed. If the test set outgrows the
-filter, more positions reach the join and the result stays the same.
+filter, more positions reach the join and the result stays the same. Items too short for this are found by a hash of
+all their tokens, in the same way.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,9 @@ FILTER_BITS, PROBES = 1 << 22, 4
 MIN_TOKENS, SIMILARITY, ITEM_SHARE, LONG_TOKENS = 8, 0.75, 0.5, 20
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLACES = odd_numbers(16, 21)
+#: Letters of scripts without spaces (Thai to Khmer, kana, Han), each a token; their punctuation and wide marks are spaces.
+_SINGLE = re.compile("([\u0e01-\u0e4e\u0e81-\u0edf\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 class _Tokens(WordHashes):
@@ -43,9 +48,20 @@ _tokens = _Tokens()
 
 
 def tokens(text: str | None) -> np.ndarray:
+    if text and not text.isascii():
+        text = _SINGLE.sub(r" \1 ", _MARKS.sub(" ", text))
     return _tokens.of(ascii_words(text))
 
 
+def runs(found: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every run of n tokens."""
+    m = max(0, len(found) - n + 1)
+    total = np.full(m, len(MASKS) + n, dtype=np.uint64)
+    for k in range(n):
+        total += found[k : k + m] * _PLACES[k]
+    return mixed(total)
+
+
 def seeds(found: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(mask number, hash at every position where the mask fits)."""
     out = []
@@ -69,15 +85,16 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, data, found = [], [], []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             t = tokens(text.as_py())
-            if len(t) >= MIN_TOKENS:
+            if len(t):
+                own = seeds(t) if len(t) >= MIN_TOKENS else [(0, runs(t, len(t)))]
                 ids.append(item)
                 data.append(t.tobytes())
-                found.append([{"seed": int(h), "at": i} for _, hs in seeds(t) for i, h in enumerate(hs.view(np.int64))])
+                found.append([{"seed": int(h), "at": i} for _, hs in own for i, h in enumerate(hs.view(np.int64))])
         kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary()), pa.array(found, kind)], names=["item_id", "item", "seeds"])
 
 
-def _hits(bits: np.ndarray):
+def _hits(bits: np.ndarray, short: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data, found = [], [], []
@@ -89,6 +106,10 @@ def _hits(bits: np.ndarray):
                     if len(at):
                         good = np.logical_and.reduce([bits[p] for p in probes(hashes[at])])
                         hits += [{"seed": int(h), "at": int(i)} for i, h in zip(at[good], hashes[at[good]].view(np.int64))]
+                for n in short:  # one place in a text will do
+                    hashes, at = np.unique(runs(t, n), return_index=True)
+                    good = np.logical_and.reduce([bits[p] for p in probes(hashes)])
+                    hits += [{"seed": int(h), "at": int(i)} for i, h in zip(at[good], hashes[good].view(np.int64))]
                 if hits:
                     ids.append(doc)
                     data.append(t.tobytes())
@@ -124,7 +145,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, item_id, data, item, diagonals in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "item_id", "tokens", "item", "diagonals"))):
             doc, item = np.frombuffer(data, np.uint64), np.frombuffer(item, np.uint64)
             start, n, equal = best_overlap(doc, item, np.unique(diagonals))
-            if n >= MIN_TOKENS and (n >= ITEM_SHARE * len(item) or n >= LONG_TOKENS):
+            if n == equal == len(item) or n >= MIN_TOKENS and (n >= ITEM_SHARE * len(item) or n >= LONG_TOKENS):
                 out.append((doc_id, item_id, start, n, equal, len(item)))
         columns = list(zip(*out)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -133,8 +154,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: doc_id, item_id, start_token, n_tokens, n_equal, item_tokens; one row for each pair.
 
-    Tokens are words between white space, A-Z lowered, without outer punctuation. Null and empty texts overlap with
-    nothing, and neither do items or documents of fewer than MIN_TOKENS tokens. Rows with a null doc_id are reported
+    Tokens are words between white space, A-Z lowered, without outer punctuation, and single letters of scripts without
+    spaces. Null and empty texts overlap with nothing. Items of fewer than MIN_TOKENS tokens overlap with documents
+    that hold all their tokens in a row. Rows with a null doc_id are reported
     under it, rows that repeat an id or an item under theirs. Only doc_id, item_id and text are read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -153,8 +175,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits[flat.select("seed").mapInArrow(bits_of, "bit long").distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
+    size = (F.length("item") / 8).cast("int")
+    short = sorted(r[0] for r in tests.select(size).where(size < MIN_TOKENS).distinct().collect())
+
     def find(batches):
-        return _hits(np.unpackbits(packed.value).astype(bool))(batches)
+        return _hits(np.unpackbits(packed.value).astype(bool), short)(batches)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = source.mapInArrow(find, "doc_id long, tokens binary, hits array<struct<seed:long,at:int>>")
