@@ -14,9 +14,9 @@ from vantle.llm import decontam, langid, neardup, packing, pii
 from vantle.llm.common import sized, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids (doc_id); rows with a null id stay."""
-    return docs.join(sized(written(ids.distinct(), "gone"), 8), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """docs without the rows of these ids (in the column name); rows with a null id stay."""
+    return docs.join(sized(written(ids.distinct(), "gone"), 8), name, "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.contaminated(docs, benchmark).select("doc_id"))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    return _without(rows, found.select(F.col("doc_id").alias("__row")), "__row").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

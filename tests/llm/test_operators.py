@@ -286,6 +286,16 @@ def test_warc(spark):
     assert warc.round_trip(pages.where("page_id = -1")).count() == 0
 
 
+def test_pipeline_removes_contaminated_rows_by_row(spark, docs):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (None, prose(1, 60)), (1, prose(2, 60)), (1, item), (2, prose(3, 60))]
+    out = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), d)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, rows[1][1]), rows[2], rows[4]]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
