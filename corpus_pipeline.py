@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantle.llm import decontam, langid, neardup, packing, pii
-from vantle.llm.common import sized, written
+from vantle.llm.common import sized, text_key, written
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -28,12 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows that repeat an id count once."""
-    found = written(neardup.near_duplicates(docs.select("doc_id", "text")), "groups")
-    kept = _without(docs, found.where(~F.col("kept")).select("doc_id"))
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """One document of each group of near duplicates, the one with the smallest id. Rows that repeat an id and its text
+    count once; other texts under the id are documents of their own."""
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = written(neardup.near_duplicates(docs.select("doc_id", "text")), "groups")
+        return _without(docs, found.where(~F.col("kept")).select("doc_id"))
+    # keys in the order of ids, then of texts
+    rows = named.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", text_key()).withColumn("__row", F.monotonically_increasing_id())
+    rows = written(rows, "rows")
+    found = written(neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "groups")
+    kept = _without(rows, found.where(~F.col("kept")).select(F.col("doc_id").alias("__row")), "__row").select(docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
