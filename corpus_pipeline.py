@@ -20,8 +20,11 @@ def _without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. Null texts and texts without a letter go."""
+    """Documents with a language. Null texts and texts without a letter go; all others stay, also where no labelled row
+    is there to learn from."""
     langs, net = langid.fit(docs.select("doc_id", "text", "lang"))
+    if net is None:
+        return langid.lettered(docs)
     names = docs.columns
     found = langid.predict(docs.toDF(*(f"c{i}" for i in range(len(names)))), langs, net, f"c{names.index('text')}")
     return found.where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score").toDF(*names)

@@ -306,6 +306,13 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted((i or 0, x or "") for i, x in expected)
 
 
+def test_pipeline_keeps_unlabelled_documents(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 !!", None), (4, "中文", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()) == [1, 4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -184,6 +184,18 @@ def predict(docs: DataFrame, langs: list[str], net: ByteNet | None, text: str =
     return docs.mapInArrow(_predict(langs, net, docs.columns.index(text)), schema)
 
 
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter."""
+    bounded(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(_LETTER.search(t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learned from docs itself.
 
