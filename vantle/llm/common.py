@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -16,14 +18,19 @@ from pyspark.sql import functions as F
 WORD_TABLE = 200_000
 #: Rows and bytes of a batch that goes to a Python worker at once; they bound its memory, whatever the texts' lengths.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-_written: list[tuple[SparkSession, str]] = []
+#: Shuffle files go when the query that made them is done; what a later query needs is a written table.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, SparkSession] = {}
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset a temporary one of this machine, for
+    a session that runs on this machine alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:  # a running session refuses a new value of this setting
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="vantle-"))
         found = _own_dir[0]
@@ -37,27 +44,52 @@ def bounded(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs nothing.
 
-    The table is removed when the process ends.
+    The table is removed by dropped(), or when the process ends.
     """
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_remove)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        _delete(_written.pop(table.written_path), table.written_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already; the cluster's own clean-up takes over
             return
 
