@@ -138,7 +138,9 @@ def test_passages_whose_parts_others_share(spark):
     found = rows_of(substrings.shared_passages(df))
     assert len(expected) == 16 and {r["doc_id"] for r in found} | {r["other_id"] for r in found} == expected
     assert all(r["end_word"] - r["start_word"] >= 60 for r in found)
-    assert substrings.uncovered(np.array([0, 9, 18, 40]), np.array([0]), np.array([16])).tolist() == [False, False, True, False]
+    places = np.array([0, 9, 18, 40])
+    assert substrings.uncovered(places, np.array([0]), np.array([16])).tolist() == [False, False, True, True]
+    assert substrings.long_runs(places).tolist() == [True, True, True, False]
 
 
 @pytest.mark.parametrize("kind", ["every 4", "every 5", "every 6", "random 10", "random 20", "random 25"])

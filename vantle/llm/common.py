@@ -14,8 +14,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word table before it starts anew; bounds its memory to about 30 MB.
-WORD_TABLE = 200_000
 #: Rows and bytes of a batch that goes to a Python worker at once; they bound its memory, whatever the texts' lengths.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Shuffle files go when the query that made them is done; what a later query needs is a written table.
@@ -104,22 +102,64 @@ def held_out_column(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-class WordHashes(dict):
-    """64-bit hashes of byte words, computed once for each word of a worker."""
+_FACTOR = 0x9E3779B97F4A7C15 * 0xD1342543DE82EF95 % 2**64 | 1
+#: Bytes of a text hashed at once, at least, and of words that are hashed on their own.
+_PIECE, _LONG = 1 << 20, 1024
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_VALUE = np.random.default_rng(15).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE[65:91] = _VALUE[97:123]
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_TABLE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the factor and of its inverse modulo 2**64, n at least."""
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]), 1 << 12)
+        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 2**64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words of the text between ASCII white space, A-Z lowered and other letters as they are."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def word_hashes(text: str | None, stripped: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the text's words, in order: what stands between ASCII white space, A-Z lowered and other bytes as
+    they are. stripped tells for each byte whether it is taken off the ends of words; words of such alone stay whole.
+
+    All words are hashed together: a word's hash is a polynomial over its bytes, the difference of two running sums.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    out, at, n = [], 0, len(data)
+    while at < n:
+        end = min(n, at + _PIECE)
+        while end < n and not _SPACE[data[end]]:
+            end += 1
+        out.append(_hashed(data[at:end], stripped))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
+def _hashed(data: np.ndarray, stripped: np.ndarray | None) -> np.ndarray:
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[data]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if stripped is not None and len(starts):
+        kept = np.flatnonzero(~(stripped | _SPACE)[data])
+        first = np.searchsorted(kept, starts)
+        last = np.searchsorted(kept, ends) - 1
+        some = first <= last
+        starts[some], ends[some] = kept[first[some]], kept[last[some]] + 1
+    forth, back = _powers_to(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * forth[: len(data)], out=total[1:])
+    out = mixed((total[ends] - total[starts]) * back[starts])
+    for k in np.flatnonzero(ends - starts > _LONG):  # long ones might be made to collide
+        out[k] = xxhash.xxh3_64_intdigest(bytes(data[starts[k] : ends[k]]).lower())
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -140,9 +180,21 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 BROADCAST_BYTES = 16 << 20
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast if a count of its rows proves it small enough. Count a written table only."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def sized(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """A written table, or columns of the written table, marked for broadcast if the rows are measured to be small: by
+    their bytes as JSON, which are no less than what they take in memory but for a constant a row. Where the files of the
+    rows alone are larger, nothing is measured."""
+    spark, path = df.sparkSession, (df if table is None else table).written_path
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if table is None and target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength() > BROADCAST_BYTES:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + F.lit(16))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def share(key: str, part: float):
+    """Whether a row belongs to a fixed part (0 to 1) of all, by a 63-bit hash of the key."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(int(part * 2.0**63) if part < 1 else 2**63 - 1)
 
 
 def text_key(column: str = "text"):
