@@ -1,83 +1,76 @@
 """Benchmark decontamination by spaced seeds: masks that ignore some token positions join documents and test items.
 
 Every mask hashes the tokens at its care positions, so a substitution at another position leaves the hash alone. Test
-hashes make a Bloom filter of fixed size; document positions that pass it join the test hashes in Spark, and the
-diagonals of the joined hits are verified token by token, with substitutions allowed. If the test set outgrows the
-filter, more positions reach the join and the result stays the same. Items too short for this are found by a hash of
-all their tokens, in the same way.
+hashes make a Bloom filter, sized by their number up to a bound; document positions that pass it join the test hashes in
+Spark, and the diagonals of the joined hits are verified token by token, with substitutions allowed. If the test set
+outgrows the filter, more positions reach the join and the result stays the same. Items too short for this are found by
+a hash of all their tokens, in the same way.
+
+With a quarter of the tokens changed at random, an overlap of 12 tokens keeps a whole seed with a probability of 0.99,
+and one of 8 tokens, whose items get lighter masks, with 0.95.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import WORD_TABLE, WordHashes, ascii_words, mixed, odd_numbers, written
+from vantle.llm.common import mixed, odd_numbers, sized, word_hashes, written
 
-#: 1: the token counts, 0: it may differ.
-MASKS = ("11101101", "1101010111", "111001011")
-#: Bits of the filter and probes of each hash.
-FILTER_BITS, PROBES = 1 << 22, 4
+#: 1: the token counts, 0: it may differ. Items of fewer than LIGHT_TOKENS tokens have the lighter masks too.
+MASKS = ("11111", "110111", "1101011", "11001011", "1010111")
+LIGHT_MASKS, LIGHT_TOKENS = ("11011", "110101", "1100101", "10111", "1001011"), 12
+#: Bits of the filter for each hash, bits at least and at most (powers of two), probes of each hash, bits of a segment.
+BITS_EACH, LEAST_BITS, MOST_BITS, PROBES, SEGMENT = 16, 1 << 18, 1 << 29, 4, 1 << 16
 #: Verified overlaps have at least so many tokens, such a share of equal ones, and such a share of the item,
 #: or LONG_TOKENS tokens.
 MIN_TOKENS, SIMILARITY, ITEM_SHARE, LONG_TOKENS = 8, 0.75, 0.5, 20
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
 _PLACES = odd_numbers(16, 21)
 #: Letters of scripts without spaces (Thai to Khmer, kana, Han), each a token; their punctuation and wide marks are spaces.
 _SINGLE = re.compile("([\u0e01-\u0e4e\u0e81-\u0edf\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 _MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
-class _Tokens(WordHashes):
-    """Hashes of words without their outer punctuation."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_TABLE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.strip(_PUNCTUATION) or word)
-        return value
-
-
-_tokens = _Tokens()
-
-
 def tokens(text: str | None) -> np.ndarray:
     if text and not text.isascii():
         text = _SINGLE.sub(r" \1 ", _MARKS.sub(" ", text))
-    return _tokens.of(ascii_words(text))
+    return word_hashes(text, _PUNCTUATION)
 
 
 def runs(found: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every run of n tokens."""
     m = max(0, len(found) - n + 1)
-    total = np.full(m, len(MASKS) + n, dtype=np.uint64)
+    total = np.full(m, 100 + n, dtype=np.uint64)
     for k in range(n):
         total += found[k : k + m] * _PLACES[k]
     return mixed(total)
 
 
-def seeds(found: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(mask number, hash at every position where the mask fits)."""
+def seeds(found: np.ndarray, light: bool) -> list[np.ndarray]:
+    """The hashes of each mask, at every position where it fits."""
     out = []
-    for n, mask in enumerate(MASKS):
+    for n, mask in enumerate((*MASKS, *(LIGHT_MASKS if light else ()))):
         m = len(found) - len(mask) + 1
         if m > 0:
             total = np.full(m, n + 1, dtype=np.uint64)
             for k, care in enumerate(mask):
                 if care == "1":
                     total += found[k : k + m] * _PLACES[k]
-            out.append((n, mixed(total)))
+            out.append(mixed(total))
     return out
 
 
-def probes(hashes: np.ndarray) -> list[np.ndarray]:
-    return [((hashes >> np.uint64(15 * k)) % np.uint64(FILTER_BITS)).astype(np.int64) for k in range(PROBES)]
+def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places in the filter; bits is a power of two."""
+    other = mixed(hashes) | np.uint64(1)
+    return [((hashes + np.uint64(k) * other) & np.uint64(bits - 1)).astype(np.int64) for k in range(PROBES)]
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,30 +79,38 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             t = tokens(text.as_py())
             if len(t):
-                own = seeds(t) if len(t) >= MIN_TOKENS else [(0, runs(t, len(t)))]
+                own = seeds(t, len(t) < LIGHT_TOKENS) if len(t) >= MIN_TOKENS else [runs(t, len(t))]
                 ids.append(item)
                 data.append(t.tobytes())
-                found.append([{"seed": int(h), "at": i} for _, hs in own for i, h in enumerate(hs.view(np.int64))])
+                found.append([{"seed": int(h), "at": i} for hs in own for i, h in enumerate(hs.view(np.int64))])
         kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary()), pa.array(found, kind)], names=["item_id", "item", "seeds"])
 
 
-def _hits(bits: np.ndarray, short: list[int]):
+def _hits(held: Callable[[], np.ndarray], short: list[int], light: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = held()
+        bits = 8 * len(filled)
+
+        def passed(hashes: np.ndarray) -> np.ndarray:
+            good = np.arange(len(hashes))
+            for k in range(PROBES):  # most fail the first probe
+                at = probes(hashes[good], bits)[k] if k else (hashes & np.uint64(bits - 1)).astype(np.int64)
+                good = good[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            return good
+
         for batch in batches:
             ids, data, found = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = tokens(text.as_py())
                 hits = []
-                for _, hashes in seeds(t):
-                    at = np.flatnonzero(bits[(hashes % np.uint64(FILTER_BITS)).astype(np.int64)])
-                    if len(at):
-                        good = np.logical_and.reduce([bits[p] for p in probes(hashes[at])])
-                        hits += [{"seed": int(h), "at": int(i)} for i, h in zip(at[good], hashes[at[good]].view(np.int64))]
+                for hashes in seeds(t, light):
+                    at = passed(hashes)
+                    hits += [{"seed": h, "at": i} for i, h in zip(at.tolist(), hashes[at].view(np.int64).tolist())]
                 for n in short:  # one place in a text will do
                     hashes, at = np.unique(runs(t, n), return_index=True)
-                    good = np.logical_and.reduce([bits[p] for p in probes(hashes)])
-                    hits += [{"seed": int(h), "at": int(i)} for i, h in zip(at[good], hashes[good].view(np.int64))]
+                    good = passed(hashes)
+                    hits += [{"seed": h, "at": i} for i, h in zip(at[good].tolist(), hashes[good].view(np.int64).tolist())]
                 if hits:
                     ids.append(doc)
                     data.append(t.tobytes())
@@ -120,6 +121,44 @@ def _hits(bits: np.ndarray, short: list[int]):
     return run
 
 
+def _segments(bits: int):
+    """Bits of the hashes as bitmaps (segment, bitmap), one for each segment with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places = np.unique(np.concatenate(probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+            for segment in np.unique(places // SEGMENT).tolist():
+                mine = held.setdefault(segment, np.zeros(SEGMENT, bool))
+                mine[places[places // SEGMENT == segment] % SEGMENT] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(m).tobytes() for m in held.values()])], names=["segment", "bitmap"])
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of the bitmaps of each segment."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for segment, bitmap in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bitmap = np.frombuffer(bitmap, np.uint8)
+            held[segment] = held[segment] | bitmap if segment in held else bitmap
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["segment", "bitmap"])
+
+
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """The packed filter of a column of hashes; at most MOST_BITS / 8 bytes reach the driver, whatever the table's size."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_EACH * hashes.count()):
+        bits *= 2
+    parts = hashes.mapInArrow(_segments(bits), "segment long, bitmap binary").repartition("segment").mapInArrow(_united, "segment long, bitmap binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():
+        out[row["segment"] * SEGMENT // 8 : (row["segment"] + 1) * SEGMENT // 8] = np.frombuffer(row["bitmap"], np.uint8)
+    return out
+
+
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
     """(start in doc, tokens, equal tokens) of the segment with most equal tokens that keeps SIMILARITY."""
     best = (0, 0, 0)
@@ -142,11 +181,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "start_token", "n_tokens", "n_equal", "item_tokens"]
     for batch in batches:
         out = []
-        for doc_id, item_id, data, item, diagonals in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "item_id", "tokens", "item", "diagonals"))):
-            doc, item = np.frombuffer(data, np.uint64), np.frombuffer(item, np.uint64)
-            start, n, equal = best_overlap(doc, item, np.unique(diagonals))
-            if n == equal == len(item) or n >= MIN_TOKENS and (n >= ITEM_SHARE * len(item) or n >= LONG_TOKENS):
-                out.append((doc_id, item_id, start, n, equal, len(item)))
+        for doc_id, data, met in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "tokens", "met"))):
+            doc = np.frombuffer(data, np.uint64)
+            for m in met:
+                item = np.frombuffer(m["item"], np.uint64)
+                start, n, equal = best_overlap(doc, item, np.unique(m["diagonals"]))
+                if n == equal == len(item) or n >= MIN_TOKENS and (n >= ITEM_SHARE * len(item) or n >= LONG_TOKENS):
+                    out.append((doc_id, m["item_id"], start, n, equal, len(item)))
         columns = list(zip(*out)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
@@ -165,28 +206,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tests = written(tests, "tests")
     flat = tests.select("item_row", F.explode("seeds").alias("s")).select("item_row", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
 
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(probes(hashes))))], names=["bit"])
-
-    # one number for each bit at most, whatever the size of the test set
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    bits[flat.select("seed").mapInArrow(bits_of, "bit long").distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
+    # bounded by MOST_BITS
+    packed = docs.sparkSession.sparkContext.broadcast(bloom_filter(flat.select("seed")))
     size = (F.length("item") / 8).cast("int")
-    short = sorted(r[0] for r in tests.select(size).where(size < MIN_TOKENS).distinct().collect())
+    lengths = [r[0] for r in tests.select(F.least(size, F.lit(LIGHT_TOKENS))).distinct().collect()]  # at most LIGHT_TOKENS
+    short, light = sorted(n for n in lengths if n < MIN_TOKENS), any(MIN_TOKENS <= n < LIGHT_TOKENS for n in lengths)
 
     def find(batches):
-        return _hits(np.unpackbits(packed.value).astype(bool), short)(batches)
+        return _hits(lambda: packed.value, short, light)(batches)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = source.mapInArrow(find, "doc_id long, tokens binary, hits array<struct<seed:long,at:int>>")
     hits = written(hits.withColumn("doc_row", F.monotonically_increasing_id()), "hits")
     at = hits.select("doc_row", F.explode("hits").alias("h")).select("doc_row", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at"))
-    pairs = at.join(flat, "seed").select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = pairs.groupBy("doc_row", "item_row").agg(F.collect_list("diagonal").alias("diagonals"))
-    whole = pairs.join(hits.select("doc_row", "doc_id", "tokens"), "doc_row").join(tests.select("item_row", "item_id", "item"), "item_row")
-    out = whole.select("doc_id", "item_id", "tokens", "item", "diagonals").mapInArrow(_verify, "doc_id long, item_id long, start_token long, n_tokens long, n_equal long, item_tokens long")
+    pairs = at.join(sized(written(flat, "flat")), "seed").select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    pairs = pairs.groupBy("doc_row", "item_row").agg(F.collect_set("diagonal").alias("diagonals"))
+    # a document meets its items together, so that its tokens travel once; these are no more than it has places for
+    met = pairs.join(tests.select("item_row", "item_id", "item"), "item_row").groupBy("doc_row").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("met"))
+    whole = met.join(hits.select("doc_row", "doc_id", "tokens"), "doc_row")
+    out = whole.select("doc_id", "tokens", "met").mapInArrow(_verify, "doc_id long, item_id long, start_token long, n_tokens long, n_equal long, item_tokens long")
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_tokens", "start_token", "item_tokens")).alias("b")).select("doc_id", "item_id", "b.start_token", "b.n_tokens", "b.n_equal", "b.item_tokens")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import written
+from vantle.llm.common import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
         after = _state(now)
         if after == before:
             break

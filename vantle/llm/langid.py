@@ -7,16 +7,16 @@ bytes. Training takes windows of a bounded sample of labelled rows (SAMPLE_DOCS,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import bounded, held_out_column
+from vantle.llm.common import bounded, held_out_column, share
 
 WINDOW = 256
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
@@ -25,7 +25,7 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 2
 #: Passes over the sample, and training steps that small samples get at least.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 300, 64, 0.006
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class ByteNet:
@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str],
     known = labelled.where("lang is not null").where(~held_out_column())
     total = known.count()
     if total > sample_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_docs / total)))
+        known = known.where(share("doc_id", sample_docs / total))
     found = known.select("lang", "text").mapInPandas(_sampled, "lang string, window binary").toPandas()
     langs = sorted(set(found["lang"]))
     if not langs:

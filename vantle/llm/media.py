@@ -182,7 +182,7 @@ def store(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = index.join(files.select("key", "keeper", "lengths"), "key").join(refs, "key", "left").join(wanted, "key", "left")
     index = written(index, "index")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(sized(index.select("key", "keeper", "lengths", "foreign"), 200), "key", "left")
+    rows = rows.join(sized(index.select("key", "keeper", "lengths", "foreign"), index), "key", "left")
     # a file is stored by the row with the least id of those that share its text
     keeps = F.col("lengths").isNull() | F.col("doc_id").eqNullSafe(F.col("keeper"))
     kept = written(rows.where(keeps).select("key", "text", "foreign", "lengths").mapInArrow(_owned, "key binary, owned binary"), "store")
@@ -193,12 +193,11 @@ def store(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_back(kept: DataFrame, index: DataFrame) -> DataFrame:
     """Every stored file's features, after its chunks were fetched, put in order and verified."""
-    small = lambda df: sized(df, 200)
-    exports = kept.join(small(written(index.where("wanted is not null").select("key", "lengths", "foreign", "wanted"), "wanted")), "key")
+    exports = kept.join(sized(index.where("wanted is not null").select("key", "lengths", "foreign", "wanted"), index), "key")
     chunks = exports.mapInArrow(_exported, "digest binary, bytes binary")
     refs = index.where("refs is not null").select("key", F.explode("refs").alias("r")).select("key", "r.at", "r.digest")
     fetched = refs.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "bytes")).alias("fetched"))
-    marked = kept.join(small(index.select("key", "lengths", F.col("refs").isNotNull().alias("parts"))), "key", "left")
+    marked = kept.join(sized(index.select("key", "lengths", F.col("refs").isNotNull().alias("parts")), index), "key", "left")
     kind = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     alone = marked.where(~F.coalesce("parts", F.lit(False))).withColumn("fetched", F.expr("cast(null as array<struct<at:int,bytes:binary>>)")).drop("parts")
     parted = marked.where(F.coalesce("parts", F.lit(False))).drop("parts").join(fetched, "key")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import WordHashes, ascii_words, mixed, odd_numbers, written
+from vantle.llm.common import dropped, mixed, odd_numbers, sized, text_key, word_hashes, written
 from vantle.llm.graph import connected_components
 
 WORDS = 5
@@ -41,6 +41,8 @@ WHOLE_LONGS = 32
 SIFT = 0.55
 #: Members of a bucket in one block of the comparison sketch by sketch.
 BLOCK = 1024
+#: Pairs that share one copy of a text, about.
+PARTNERS = 256
 
 _PLACES = odd_numbers(WORDS, 11)
 _SAMPLES = odd_numbers(SAMPLES, 12)[:, None]
@@ -48,12 +50,11 @@ _SHIFTS = odd_numbers(SAMPLES, 13)[:, None]
 _BAND = odd_numbers(ROWS, 14)[None, :]
 #: The most ones in the XOR of two sketches whose estimate reaches SIFT: n/2 * (1 - (1 - 2/n)**(2 * samples * (1 - s)))
 MOST_ONES = int(32 * SKETCH_LONGS * (1 - (1 - 2 / (64 * SKETCH_LONGS)) ** (2 * SAMPLES * (1 - SIFT)))) + 1
-_words = WordHashes()
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's five-word shingles; of the whole sequence where it is shorter."""
-    words = _words.of(ascii_words(text))
+    words = word_hashes(text)
     n = len(words)
     if n == 0:
         return words
@@ -98,7 +99,7 @@ def whole_parity(found: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, digest, keys, sketches = [], [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             found = shingles(text.as_py())
             size.append(len(found))
             if len(found):
@@ -112,15 +113,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketches.append(None)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)],
-            names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+            [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)],
+            names=["doc_id", "key", "n_shingles", "digest", "bands", "sketch"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and for documents with words: digest of the set, band keys, odd sketch."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    """doc_id, key of the text, n_shingles, and for documents with words: digest of the set, band keys, odd sketch."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(_signatures, "doc_id long, key binary, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +139,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked) of pairs (a, b) after a look at both full sets. texts: (id, text), one row for each id."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    used = texts.join(ids, "id", "left_semi")
-    second = pairs.join(used.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = second.join(used.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    """(a, b, linked) of pairs (a, b) after a look at both full sets. texts: (id, text), one row for each id.
+
+    The partners of an a that has many are dealt to shares of about PARTNERS, each of which meets a copy of its text."""
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    used = texts.join(sized(ids), "id", "left_semi")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("shares"))
+    many = sized(written(shares.where("shares > 1"), "many"))
+    dealt = pairs.join(many, "a", "left").withColumn("share", F.pmod(F.hash("b"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    copies = used.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(many, "a", "left")
+    copies = copies.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    second = dealt.join(used.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = second.join(copies, ["a", "share"])
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
@@ -210,11 +218,13 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     rows = written(signed.select("id", F.explode("bands").alias("bucket")), "buckets")
     shared = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     members = written(rows.join(shared.drop("last"), "bucket"), "members")
+    dropped(rows)
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sketch = signed.select("id", "n", "sketch")
     pairs = pairs.join(sketch.toDF("a", "n_a", "sketch_a"), "a").join(sketch.toDF("b", "n_b", "sketch_b"), "b")
     pairs = written(pairs.where(_possible()).select("a", "b"), "pairs")
     tested = written(confirmed(pairs, texts), "tested")
+    dropped(pairs)
     found = written(connected_components(tested.where("linked")), "components")
     limit: int | None = 16
     while True:
@@ -228,7 +238,9 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
             tested = tested.union(again)
             if not again.where("linked").isEmpty():
                 found = written(connected_components(tested.where("linked")), "components")
-        if proposed.where("cut").isEmpty():
+        more = not proposed.where("cut").isEmpty()
+        dropped(proposed, left)
+        if not more:
             return found
         limit = None if limit > 1000 else limit * 16
 
@@ -277,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     #: A representative's text: of rows that repeat its id, one with the class's set
     repeated = not usable.groupBy("doc_id").count().where("count > 1").isEmpty()
     if repeated:
-        classes, texts = _told_apart(usable, texts, classes)
+        classes, texts = _told_apart(usable, docs, classes)
         grouped = links(classes.select("id", "n", "bands", "sketch"), texts)
         equal = classes.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
         names = grouped.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -294,8 +306,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _told_apart(usable: DataFrame, texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """classes and texts under ids that no two classes share, where documents with one id have different texts."""
+def _told_apart(usable: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """classes and texts under ids that no two classes share, where documents with one id have different texts. Of each
+    class one text is taken, that with the least key."""
     ids = classes.withColumnRenamed("id", "doc_id").withColumn("id", F.xxhash64("digest"))
-    digest = F.udf(lambda t: xxhash.xxh3_128_digest(shingles(t).tobytes()), "binary")
-    return ids, texts.withColumn("id", F.xxhash64(digest("text"))).select("id", "text").dropDuplicates(["id"])
+    firsts = written(usable.groupBy("digest").agg(F.min("key").alias("key")).select("key", F.xxhash64("digest").alias("id")), "firsts")
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(sized(firsts), "key")
+    return ids, texts.groupBy("id").agg(F.first("text").alias("text"))

@@ -9,7 +9,9 @@ distinct seeds then add the unseen identifiers that they find.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -21,8 +23,8 @@ from vantle.llm.common import sized, text_key, written
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring, and what a pattern needs to add spans: confidence and distinct seeds.
 TURNS, CONFIDENCE, LEAST_SEEDS = 3, 0.8, 5
-#: Longest identifier that may become a candidate; longer ones are data, not identifiers.
-LONGEST = 64
+#: Least characters of a candidate.
+SHORTEST = 5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +37,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(
     r"(?<!\S)(\S*[0-9@]\S*)(?:(?<=[0-9A-Z)]) (?:[A-Z]{2,4} )?[(]?[0-9A-Z]*[0-9][0-9A-Z]*[)]?(?:[-./][0-9A-Z]+)*(?=$|\s|[.,;:!?)\]}\"'<])){0,8}"
 )
+_WORD = re.compile(r"\S+")
 _LABEL = re.compile(r"[A-Za-z_]+[:=](?!/)")
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
@@ -86,13 +89,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
     """(start, end) of identifiers outside the spans taken, which are sorted."""
     at, n = 0, 0
+    ends = list(accumulate((e for _, e, _ in taken), max))
     while m := _TOKEN.search(text, at):
         start, end = m.span()
-        if end - start > LONGEST:
-            end = m.end(1)
-        while n < len(taken) and taken[n][1] <= start:
+        while n < len(taken) and ends[n] <= start:
             n += 1
-        met = min((x for x in taken[n : n + 8] if x[0] < end and start < x[1]), default=None)
+        met = _first_met(taken, n, start, end)
         if met and (met[0] <= start or not text[met[0] - 1].isspace()):  # on behind the token where the span ends
             at = met[1]
             while at < len(text) and not text[at].isspace():
@@ -107,17 +109,25 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[i
         end = start + len(text[start:end].rstrip(_EDGES + " "))
         if start and text[start - 1] == "(" and text.find(")", start, end) >= 0:
             start -= 1
-        if 5 <= end - start <= LONGEST:
+        if end - start >= SHORTEST:
             yield start, end
 
 
-def _words_before(text: str, start: int) -> list[str]:
-    return [w.strip(_EDGES).lower() for w in text[max(0, start - 48) : start].split()[-2:]]
+def _first_met(taken: list[tuple[int, int, str]], n: int, start: int, end: int) -> tuple[int, int, str] | None:
+    """The first span from n on that overlaps (start, end)."""
+    while n < len(taken) and taken[n][0] < end:
+        if taken[n][1] > start:
+            return taken[n]
+        n += 1
+    return None
 
 
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of an identifier: one or two words before it, and whether it holds an at sign."""
-    before, form = _words_before(text, start), "@" if "@" in text[start:end] else "9"
+def _contexts(text: str, words: list[tuple[int, int]], start: int, end: int) -> list[str]:
+    """Lexical patterns of an identifier: one or two words before it, and whether it holds an at sign. words are the
+    places of all words of the text."""
+    k = bisect_left(words, (start, 0))  # the first word that starts no earlier
+    before = [text[s : min(e, start)].strip(_EDGES).lower() for s, e in words[max(0, k - 2) : k]]
+    form = "@" if "@" in text[start:end] else "9"
     return [f"{' '.join(before[-n:])} {form}" for n in (1, 2) if len(before) >= n and before[-1]]
 
 
@@ -133,8 +143,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = [(s, e, k) for s, e, k in found]
             if _DIGIT.search(text) or "@" in text:
                 items += [(s, e, None) for s, e in candidates(text, sorted(found))]
+            words = [m.span() for m in _WORD.finditer(text)] if items else []
             instances.append(
-                [{"start": s, "end": e, "kind": k, "value": xxhash.xxh3_64_intdigest(text[s:e].lower()) - 2**63, "patterns": p} for s, e, k in items if (p := _contexts(text, s, e))]
+                [{"start": s, "end": e, "kind": k, "value": xxhash.xxh3_64_intdigest(text[s:e].lower()) - 2**63, "patterns": p} for s, e, k in items if (p := _contexts(text, words, s, e))]
             )
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(instances, pa.list_(seen))],
@@ -186,7 +197,7 @@ def find(docs: DataFrame) -> DataFrame:
     and text are read. An empty table gives an empty one.
     """
     found = written(extracted(docs), "extracted")
-    added = sized(written(added_spans(found.where(F.size("instances") > 0)), "added"), 400)
+    added = sized(written(added_spans(found.where(F.size("instances") > 0)), "added"))
     every = F.concat("base", F.coalesce("added", F.expr(f"cast(array() as array<{_SPAN}>)")))
     return found.select("doc_id", "key", "base").join(added, "key", "left").select("doc_id", "key", "base", every.alias("spans"))
 
@@ -219,7 +230,7 @@ def redact(docs: DataFrame) -> DataFrame:
     found = written(extracted(docs), "extracted")
     added = written(added_spans(found.where(F.size("instances") > 0)), "added")
     keyed = docs.withColumn("__key", text_key())
-    joined = keyed.join(sized(added, 400).withColumnsRenamed({"key": "__key", "added": "__added"}), "__key", "left").drop("__key")
+    joined = keyed.join(sized(added).withColumnsRenamed({"key": "__key", "added": "__added"}), "__key", "left").drop("__key")
     place, text_at = joined.columns.index("__added"), joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

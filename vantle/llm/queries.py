@@ -72,7 +72,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantle.llm.warc import round_trip
 
-    return round_trip(table(spark, sf_dir, "pages")).drop("capture")
+    return round_trip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

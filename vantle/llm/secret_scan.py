@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import written
+from vantle.llm.common import sized, written
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,23 +29,43 @@ def _none() -> Column:
     return F.expr(f"cast(array() as array<{_SPAN}>)")
 
 
+def _running(values: Column, combine) -> Column:
+    """Running results of combine (associative) over an array, in as many passes as its length has binary digits."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def doubled(now, k):
+        shift = F.pow(F.lit(2), k).cast("int")
+        head = F.slice(now, 1, shift)
+        tail = F.slice(now, shift + 1, F.size(now))
+        return F.concat(head, F.zip_with(tail, F.slice(now, 1, F.size(now) - shift), combine))
+
+    return F.aggregate(steps, values, doubled)
+
+
 def _spans(text: Column, pattern: str, kind: str, place: int, group: int, possible: Column | None = None) -> Column:
-    """All matches with their places; value is the group's text."""
+    """All matches with their places; value is the group's text. A match starts behind all pieces and matches before."""
     found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    rows = F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("n"), values.alias("v"), between.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
+    lengths = F.transform(found, lambda m: F.length(m))
+    # the piece behind the last match has no match of its own
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda s: F.length(s))
+    ends = _running(F.zip_with(lengths, gaps, lambda n, g: n + g), lambda x, y: x + y)
+    span = lambda r: F.struct((r["end"] - r["n"]).alias("start"), F.lit(place).alias("place"), r["end"].alias("end"), F.lit(kind).alias("kind"), r["v"].alias("value"))
+    out = F.transform(F.arrays_zip(lengths.alias("n"), ends.alias("end"), values.alias("v")), span)
+    return F.when(text.rlike(pattern) if possible is None else possible & text.rlike(pattern), out).otherwise(_none())
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans sorted by start and place, those of the last place that overlap none of another: by the running maximum of
+    the others' ends, and from behind the running minimum of their starts."""
+    last = F.lit(_GENERIC_PLACE)
+    ends = _running(F.transform(spans, lambda s: F.when(s["place"] < last, s["end"]).otherwise(0)), lambda x, y: F.greatest(x, y))
+    starts = _running(F.transform(F.reverse(spans), lambda s: F.when(s["place"] < last, s["start"]).otherwise(2**31 - 1)), lambda x, y: F.least(x, y))
+    rows = F.arrays_zip(spans.alias("s"), ends.alias("before"), F.reverse(starts).alias("behind"))
+    free = F.filter(rows, lambda r: (r["s"]["place"] == last) & (r["before"] <= r["s"]["start"]) & (r["behind"] >= r["s"]["end"]))
+    return F.transform(free, lambda r: r["s"])
 
-    def add(state, row):
-        begin = state["at"] + row["gap"]
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), (begin + row["n"]).alias("end"), F.lit(kind).alias("kind"), row["v"].alias("value"))
-        # the piece behind the last match has no match of its own
-        grown = F.when(row["n"].isNotNull(), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((begin + F.coalesce(row["n"], F.lit(0))).alias("at"), grown.alias("spans"))
 
-    out = F.aggregate(rows, start, add, lambda s: s["spans"])
-    test = F.size(found) > 0
-    return F.when(test if possible is None else possible & test, out).otherwise(_none())
+_GENERIC_PLACE = 4
 
 
 def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -58,10 +78,10 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
     access = _spans(text, ACCESS, "access", 2, 0, text.contains("AKIA"))
     base = F.array_sort(F.concat(assign, access, _spans(text, HEX, "hex", 3, 0)))
     random = lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
-    generic = F.filter(_spans(text, GENERIC, "generic", 4, 0), lambda s: random(s["value"]))
+    generic = F.filter(_spans(text, GENERIC, "generic", _GENERIC_PLACE, 0), lambda s: random(s["value"]))
     out = source.select("doc_id", "owner", "repository", base.alias("base"), generic.alias("generic"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn("generic", F.when(F.size("generic") > 0, F.filter("generic", apart)).otherwise(F.col("generic")))
+    apart = _apart(F.array_sort(F.concat("base", "generic")))
+    return out.withColumn("generic", F.when((F.size("generic") > 0) & (F.size("base") > 0), apart).otherwise(F.col("generic")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -84,7 +104,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     counts = written(ownership(with_any), "ownership")
     live = (F.col("owners") <= OWNERS) & (F.col("different") >= DIFFERENT)
     each = with_any.select("row", F.explode(F.concat("base", "generic")).alias("s")).withColumn("hash", F.sha2(F.col("s.value").cast("binary"), 256))
-    each = each.join(counts.select("hash", live.alias("live")), "hash")
+    each = each.join(sized(counts.select("hash", live.alias("live")), counts), "hash")
     per_row = each.groupBy("row").agg(
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.collect_list(F.when(F.col("live") & (F.col("s.kind") == "generic"), F.col("s"))).alias("added")
     )

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import bounded, held_out_column, written
+from vantle.llm.common import bounded, held_out_column, share, written
 
-#: At most about so many labelled rows are learned from, and so many words become features.
+#: About so many labelled rows at most are learned from, whatever their number; the FEATURES words that speak most for a
+#: label of 1 make up the lexicon.
 SAMPLE_DOCS, FEATURES = 12_000, 256
 THRESHOLD = 0.3
 ALPHABET = 28
@@ -29,7 +30,6 @@ LEET = {
 }
 #: Log-probabilities of the channel: a letter for a sign, a repeated letter dropped, a separator dropped, a sign kept.
 SWAP, REPEAT, DROP = -1.0, -0.4, -0.5
-BEAM = 24
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`+=/\\"
 _THRICE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .*_\-]){3,}[^\W_](?![^\W_])")
@@ -65,24 +65,31 @@ def _place(c: str) -> int:
 
 
 def decode(token: str, model: list[float]) -> str:
-    """The likeliest plain word behind a token (lower case), by Viterbi over its lattice; states are letter pairs."""
-    states = {(0, 0): (0.0, "")}
+    """The likeliest plain word behind a token (lower case), by Viterbi over its whole lattice. States are the last two
+    letters; each keeps its best path, as a chain of letters, so that time and memory grow with the token's length."""
+    states: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
+    place = {"": 0}
     for c in token:
         options = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in states.items():
-            steps = [(a, b, score + DROP, word)] if not options else []
+        for letter, _ in options:
+            place.setdefault(letter, _place(letter))
+        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
+            if not options:
+                new[a, b] = (score + DROP, path)
             for letter, cost in options:
-                k = _place(letter)
-                steps.append((b, k, score + cost + model[(a * ALPHABET + b) * ALPHABET + k], word + letter))
-                if word and word[-1] == letter:
-                    steps.append((a, b, score + cost + REPEAT, word))
-            for x, y, s, w in steps:
-                if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, w)
-        states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:BEAM])
-    ends = [(s + model[(a * ALPHABET + b) * ALPHABET], w) for (a, b), (s, w) in states.items()]
-    return max(ends)[1]
+                s = score + cost + model[(place[a] * ALPHABET + place[b]) * ALPHABET + place[letter]]
+                if (b, letter) not in new or s > new[b, letter][0]:
+                    new[b, letter] = (s, (path, letter))
+                if b == letter and ((a, b) not in new or score + cost + REPEAT > new[a, b][0]):
+                    new[a, b] = (score + cost + REPEAT, path)
+        states = new
+    path = max(states.items(), key=lambda x: (x[1][0] + model[(place[x[0][0]] * ALPHABET + place[x[0][1]]) * ALPHABET], x[0]))[1][1]
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -115,7 +122,7 @@ class Restorer:
                 whole = w.strip(".,;:?\"'")  # a sign at the edge may be a letter
                 if whole != bare:
                     out.add(self.plain(whole))
-            if bare and bare != w and any(c in LEET for c in (w[0], w[-1])) and len(w) < 24:
+            if bare and bare != w and any(c in LEET for c in (w[0], w[-1])):
                 out.add(self.plain(w.rstrip("!.,").lstrip("(")))
         for m in _SPACED.finditer(low):
             out.add(self.plain(re.sub(r"[ .*_\-]", "", m[0])))
@@ -138,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: list[float], sample_docs: int
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out_column())
     total = known.count()
     if total > sample_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_docs / total)))
+        known = known.where(share("doc_id", sample_docs / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample of ids is bounded by sample_docs, so it may be broadcast
     rows = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_worded(model), "toxic int, words array<string>")

@@ -23,6 +23,8 @@ from vantle.llm.common import written
 
 #: Bytes after which a segment ends; one larger record makes a larger segment.
 SEGMENT = 1 << 20
+#: Bytes given to the decompressor at once.
+SLICE = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -89,11 +91,17 @@ def archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of a segment or a whole .warc.gz file."""
-    while content:
-        unzip = zlib.decompressobj(31)
-        yield unzip.decompress(content)
-        content = unzip.unused_data
+    """The gzip members of a segment or a whole .warc.gz file, which is fed in slices, so that time grows with its size."""
+    at, size, rest = 0, len(content), memoryview(content)
+    while at < size:
+        unzip, parts = zlib.decompressobj(31), []
+        while not unzip.eof:
+            if at >= size:
+                raise ValueError("the last member is cut off")
+            piece = rest[at : at + SLICE]
+            parts.append(unzip.decompress(piece))
+            at += len(piece) - len(unzip.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -140,18 +148,23 @@ def captures(found: DataFrame) -> DataFrame:
     """One nested row for each capture: the main record, and structs request and metadata where there are such.
 
     The transaction's key is the main record's identifier, which the others name in concurrent-to; all its records
-    meet in one aggregation. Records whose main record is missing are left out.
+    meet in one aggregation. Records whose main record is missing make a row of kind orphan under the identifier they
+    name; a record that names nothing stands for itself.
     """
     side = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("record_id", "block_bytes", "note"))).alias(kind)
     main = F.struct("kind", "record_id", "target_uri", "warc_date", "refers_to", "payload_bytes", "payload_digest")
     grouped = found.groupBy(F.coalesce("concurrent_to", "record_id").alias("transaction")).agg(
         F.collect_list(F.when(F.col("kind").isin("response", "revisit"), main)).alias("main"), side("request"), side("metadata")
     )
-    return grouped.select(F.explode("main").alias("m"), "request", "metadata").select("m.*", "request", "metadata")
+    rows = grouped.select(F.explode_outer("main").alias("m"), "request", "metadata", "transaction").select("m.*", "request", "metadata", "transaction")
+    orphan = F.col("kind").isNull()
+    rows = rows.withColumn("record_id", F.when(orphan, F.col("transaction")).otherwise(F.col("record_id")))
+    return rows.withColumn("kind", F.coalesce("kind", F.lit("orphan"))).drop("transaction")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, read back from its archives.
+    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to and the nested capture, read back from its
+    archives. A capture without its request or metadata record fails the read.
 
     A null html counts as empty. Pages with a null id are captures of their own, with a null page_id. Rows that repeat
     an id and its payload are all responses, or all revisits of a later page. An empty table gives an empty one.
@@ -159,4 +172,6 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     of = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d+):response>$", 1)
     number = lambda c: F.when(of(c) != "", of(c).cast("long"))
     found = captures(records(archives(pages, least_bytes)))
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"), F.struct("request", "metadata", "target_uri", "warc_date").alias("capture"))
+    whole = F.col("request").isNotNull() & F.col("metadata").isNotNull() & (F.col("metadata.note") == F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string")))
+    capture = F.when(F.coalesce(whole, F.lit(False)), F.struct("request", "metadata", "target_uri", "warc_date")).otherwise(F.raise_error(F.concat(F.lit("incomplete capture "), "record_id")))
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"), capture.alias("capture"))
