@@ -16,7 +16,7 @@ from vantle.llm.common import sized, text_key, written
 
 def _without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
     """docs without the rows of these ids (in the column name); rows with a null id stay."""
-    return docs.join(sized(written(ids.distinct(), "gone"), 8), name, "left_anti").select(docs.columns)
+    return docs.join(sized(written(ids.distinct(), "gone")), name, "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id. Rows that repeat an id and its text
-    count once; other texts under the id are documents of their own."""
-    named = docs.where("doc_id is not null")
-    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One document of each group of near duplicates, the one with the smallest id; one with a null id only where no
+    other of the group has an id. Rows that repeat an id and its text count once; other texts under the id are documents
+    of their own. Null texts, empty ones and ones without words aren't duplicates of each other."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         found = written(neardup.near_duplicates(docs.select("doc_id", "text")), "groups")
         return _without(docs, found.where(~F.col("kept")).select("doc_id"))
-    # keys in the order of ids, then of texts
-    rows = named.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", text_key()).withColumn("__row", F.monotonically_increasing_id())
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    # keys in the order of ids, then of texts; rows without an id come last
+    rows = named.union(docs.where("doc_id is null")).orderBy(F.asc_nulls_last("doc_id"), text_key()).withColumn("__row", F.monotonically_increasing_id())
     rows = written(rows, "rows")
     found = written(neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "groups")
-    kept = _without(rows, found.where(~F.col("kept")).select(F.col("doc_id").alias("__row")), "__row").select(docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    return _without(rows, found.where(~F.col("kept")).select(F.col("doc_id").alias("__row")), "__row").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
