@@ -13,12 +13,17 @@ PACKINGS = ("float32", "float16", "int8", "binary")
 
 
 def dot(a, b) -> Column:
-    """Inner product, summed in order."""
+    """Inner product, summed in order; vectors of unlike lengths fail, a null one gives null."""
+    unlike = F.raise_error(F.lit("vectors differ in length")).cast("double")
+    return F.when(F.size(a) != F.size(b), unlike).otherwise(_dot(a, b))
+
+
+def _dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(_dot(v, v))
 
 
 def normalized(v, floor: bool = True) -> Column:

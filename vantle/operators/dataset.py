@@ -28,31 +28,43 @@ def claimed_once(rows: DataFrame, file: str, order: str) -> DataFrame:
     return first_wins(rows, file, order)
 
 
-def reindexed(rows: DataFrame, order: str, limit: int | None = None) -> DataFrame:
-    """rows with row_index from 0 by order, gapless, without a window over all rows in one task.
+def _running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the running total of value by order, this row included, without a window over all rows in one task.
 
-    Rows are ranged and numbered within their range; one count for each range, on the driver, gives its offset.
+    Rows are ranged by bounds of a sample, taken once; totals of the ranges, one row each, give the offsets. Both uses of
+    the rows put a row into the same range, since its range follows from the bounds alone.
     """
+    share = 20_000 / max(1, rows.count())
+    sample = rows.select(*order).where(F.rand(17) < share).orderBy(*order).collect()  # about 20,000 rows at any size
+    n = max(1, min(len(sample) // 50, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    place = F.struct(*order)
+    part = F.lit(0)
+    for k in range(1, n):
+        bound = sample[k * len(sample) // n]
+        part = part + (place >= F.struct(*(F.lit(bound[c]).cast(rows.schema[c].dataType).alias(c) for c in order))).cast("int")
+    ranged = rows.withColumn("__part", part).withColumn("__value", value)
+    totals = ranged.groupBy("__part").agg(F.sum("__value").alias("__total"))
+    # one row a range
+    offsets = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranged.withColumn("__within", within).join(F.broadcast(offsets.select("__part", "__offset")), "__part")
+    return out.withColumn(name, (F.col("__within") + F.col("__offset")).cast("long")).drop("__part", "__value", "__within", "__offset")
+
+
+def reindexed(rows: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    """rows with row_index from 0 by order, gapless; order has no ties."""
     if limit is not None:
         if limit < 1:
             raise ValueError("limit must be at least 1")
         best = rows.orderBy(order).limit(limit)
         return best.withColumn("row_index", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    total, offsets = 0, []
-    for part in sorted(counts):
-        offsets.append((part, total))
-        total += counts[part]
-    starts = F.create_map(*[F.lit(x) for pair in offsets for x in pair]) if offsets else F.create_map(F.lit(0), F.lit(0))
-    number = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return ranged.withColumn("row_index", (number + starts[F.col("part")]).cast("long")).drop("part")
+    return _running(rows, [order], F.lit(1), "row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
 def ordered_list(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
     """(by, name): the values of each group in order."""
-    pairs = F.array_sort(F.collect_list(F.struct(order, value)))
-    return rows.groupBy(by).agg(F.transform(pairs, lambda s: s[value]).alias(name))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("x"))))
+    return rows.groupBy(by).agg(F.transform(pairs, lambda s: s["x"]).alias(name))
 
 
 def paragraph(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
@@ -61,9 +73,8 @@ def paragraph(rows: DataFrame, by: str, order: str, value: str, name: str) -> Da
 
 
 def cut_offs(rows: DataFrame, by: str) -> DataFrame:
-    """(by, n, cut_off): running number of sentences, group after group; over groups, not rows."""
-    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
-    return counts.withColumn("cut_off", F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    """(by, n, cut_off): running number of sentences, group after group."""
+    return _running(rows.groupBy(by).agg(F.count("*").alias("n")), [by], F.col("n"), "cut_off")
 
 
 def picked(rows: DataFrame, by: str, order: str, pick: Column) -> DataFrame:

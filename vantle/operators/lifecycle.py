@@ -46,12 +46,14 @@ def frame_order(rows: DataFrame, by: str, order: str, kind: str, seed: int = 0)
     return placed.select(by, order, (F.col("n") - 1 - F.col("pos") if kind == "reverse" else F.col("pos")).alias("pos"))
 
 
-def padded_positions(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
-    """For each group, positions 0 to most - 1 with the value there or null, and a mask."""
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("all"))
-    out = lists.select(by, F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pos"), "all")
-    found = F.get("all", F.col("pos"))
-    return out.select(by, F.col("pos").cast("long").alias("pos"), found.alias(value), found.isNotNull().cast("long").alias("mask"))
+def padded_positions(rows: DataFrame, by: str, value: str, most: int, order: str | None = None) -> DataFrame:
+    """For each group, positions 0 to most - 1 with the value there by order (the value's own, unless told) or null, and
+    a mask."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order or value).alias("at"), F.col(value).alias("x"))))
+    out = rows.groupBy(by).agg(F.transform(F.slice(pairs, 1, most), lambda s: s["x"]).alias("all"))
+    out = out.select(by, F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pos"), "all")
+    there = (F.col("pos") < F.size("all")).cast("long")
+    return out.select(by, F.col("pos").cast("long").alias("pos"), F.get("all", F.col("pos")).alias(value), there.alias("mask"))
 
 
 def learning_rate(kind: str, x: Column, warmup: float) -> Column:

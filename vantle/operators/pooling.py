@@ -29,6 +29,13 @@ def masked_mean(frames: DataFrame, by: str, mask: Column, column: str = "embeddi
     return rows.groupBy(by, "at").agg((F.sum(F.col("x").cast("double") * F.col("m")) / F.when(kept == 0, 1.0).otherwise(kept)).alias("value"))
 
 
+def masked_text_mean(tokens: DataFrame, by: str, order: str, mask: Column, column: str = "embedding") -> DataFrame:
+    """masked_mean without the first token of each group by order, which marks the start."""
+    first = tokens.groupBy(by).agg(F.min(order).alias("__first"))
+    rest = tokens.join(first, by).withColumn("__mask", F.when(F.col(order) == F.col("__first"), 0.0).otherwise(mask))
+    return masked_mean(rest, by, F.col("__mask"), column)
+
+
 def fused(modalities: list[DataFrame], by: str, column: str = "embedding") -> DataFrame:
     """(by, at, value): one masked mean over the modalities' sequences laid end to end (columns by, column, mask)."""
     return masked_mean(reduce(DataFrame.unionByName, [m.select(by, column, "mask") for m in modalities]), by, F.col("mask"), column)

@@ -49,18 +49,35 @@ def contrastive_loss(scores: DataFrame) -> DataFrame:
     return both.groupBy("batch").agg(((F.avg(F.col("lr") - F.col("score")) + F.avg(F.col("lc") - F.col("score"))) / 2).alias("loss"))
 
 
-def margin_loss(scores: DataFrame, margin: float) -> DataFrame:
-    """Mean hinge of every pair against its row's and its column's truth."""
+def margin_loss(scores: DataFrame, margin: float, pairs: int = 1, hard_rate: float = 0.5) -> DataFrame:
+    """Mean hinge of every pair against its row's and its column's truth.
+
+    Where pairs of neighbouring rows belong to one clip (pairs above 1, and more than one clip in a batch), each hinge is
+    weighted: n * hard_rate within a clip and n * (1 - hard_rate) / (n - 1) across, for n clips a batch.
+    """
     truth = scores.where("q = v")
     both = scores.join(truth.select("batch", "q", F.col("score").alias("tq")), ["batch", "q"]).join(truth.select("batch", "v", F.col("score").alias("tv")), ["batch", "v"])
     hinge = lambda t: F.greatest(F.lit(0.0), F.lit(margin) + F.col("score") - F.col(t))
-    return both.groupBy("batch").agg(F.avg(hinge("tq") + hinge("tv")).alias("loss"))
+    weight = F.lit(1.0)
+    if pairs > 1:
+        clip = lambda c: F.floor(F.col(c) / F.lit(pairs))
+        clips = truth.groupBy("batch").agg(F.count_distinct(clip("q")).alias("n"))
+        both = both.join(clips, "batch")
+        across = F.col("n") * (1 - hard_rate) / F.nullif(F.col("n") - 1, F.lit(0))
+        weight = F.when(F.col("n") == 1, 1.0).when(clip("q") == clip("v"), F.col("n") * hard_rate).otherwise(across)
+    return both.groupBy("batch").agg(F.avg((hinge("tq") + hinge("tv")) * weight).alias("loss"))
 
 
 def nce_loss(scores: DataFrame) -> DataFrame:
-    """-log of the truth's share among its row and column together, the truth counted twice, mean over the batch."""
-    views = scores.select("batch", F.col("q").alias("k"), "score").union(scores.select("batch", F.col("v").alias("k"), "score"))
-    every = views.groupBy("batch", "k").agg(F.max("score").alias("top"), F.collect_list("score").alias("all"))
-    total = F.log(F.aggregate(F.transform("all", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, x: a + x)) + F.col("top")
+    """-log of the truth's share among its row and column together, where the truth counts once; mean over the batch."""
+    views = scores.select("batch", F.col("q").alias("k"), "score").union(scores.where("q <> v").select("batch", F.col("v").alias("k"), "score"))
+    top = views.groupBy("batch", "k").agg(F.max("score").alias("top"))
+    total = views.join(top, ["batch", "k"]).groupBy("batch", "k").agg((F.log(F.sum(F.exp(F.col("score") - F.col("top")))) + F.max("top")).alias("total"))
     truth = scores.where("q = v").select("batch", F.col("q").alias("k"), F.col("score").alias("t"))
-    return every.join(truth, ["batch", "k"]).groupBy("batch").agg(F.avg(total - F.col("t") - F.log(F.lit(2.0))).alias("loss"))
+    return total.join(truth, ["batch", "k"]).groupBy("batch").agg(F.avg(F.col("total") - F.col("t")).alias("loss"))
+
+
+def group_members(sentences: DataFrame, by: str, order: str) -> DataFrame:
+    """Of each group's sentences the last by order, whose clip stands for the group where clips are compared."""
+    others = [c for c in sentences.columns if c != by]
+    return sentences.groupBy(by).agg(F.max_by(F.struct(*others), order).alias("last")).select(by, "last.*")
