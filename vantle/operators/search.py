@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from vantle.functions.vectors import dot, hamming, pack_bits
 #: Vectors in a block, and the bytes of query blocks up to which they are sent to every executor.
 BLOCK = 1024
 BROADCAST_BYTES = 64 << 20
+#: Rows of the best so far that a task holds.
+HELD = 4 << 20
 
 
 def topk(items: DataFrame, score: Column, k: int, id_column: str = "vec_id") -> DataFrame:
@@ -34,13 +37,21 @@ def binary_score(query: list[float], dimension: int, column: str = "embedding")
     return (F.lit(dimension) - hamming(pack_bits(column), F.array(*map(F.lit, bits)))).cast("long")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as a matrix; a null or another length fails."""
+    n = len(column)
+    sizes = np.diff(column.offsets.to_numpy())
+    if column.null_count or (n and (sizes != sizes[0]).any()):
+        raise ValueError("vectors are null or differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            vectors = np.array(part.column(1).to_pylist(), dtype=np.float64)
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], names=["ids", "vectors"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([_matrix(part.column(1)).tobytes()])], names=["ids", "vectors"])
 
 
 def blocks(vectors: DataFrame) -> DataFrame:
@@ -48,52 +59,98 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(_blocks, "ids binary, vectors binary")
 
 
-def block_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
+def vector_bytes(vectors: DataFrame) -> int:
+    """Bytes of (id, vector) as doubles, measured."""
+    n, width = vectors.agg(F.count("*"), F.max(F.size(vectors.columns[1]))).first()
+    return n * 8 * ((width or 0) + 1)
+
+
+def block_pairs(queries: DataFrame, items: DataFrame, query_bytes: int | None = None) -> DataFrame:
     """Each query block beside each item block: one row for up to BLOCK x BLOCK scores.
 
-    The query side is sent to the executors while its measured size allows; beyond, it is dealt to item blocks by a
-    shuffled join on a block number.
+    The query side is sent to the executors while its size (measured, unless given) allows. Beyond, query blocks are
+    dealt to chunks of that size and item blocks to as many shares, and one equi-join makes every chunk meet every share.
     """
-    q, i = blocks(queries).toDF("q_ids", "q_vectors"), blocks(items)
-    small = queries.agg(F.count("*"), F.max(F.size(queries.columns[1]))).first()
-    if small[0] * 8 * ((small[1] or 0) + 1) <= BROADCAST_BYTES:
+    query_bytes = vector_bytes(queries) if query_bytes is None else query_bytes
+    q = blocks(queries).select(F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    i = blocks(items)
+    if query_bytes <= BROADCAST_BYTES:
         return i.crossJoin(F.broadcast(q))
-    return i.repartition("ids").crossJoin(q)
+    chunks = -(-query_bytes // BROADCAST_BYTES)
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    q = q.withColumn("chunk", F.pmod(F.hash("q_ids"), F.lit(chunks))).withColumn("share", every)
+    i = i.withColumn("share", F.pmod(F.hash("ids"), F.lit(chunks))).withColumn("chunk", every)
+    return i.join(q, ["chunk", "share"]).drop("chunk", "share")
 
 
 def _matrices(batch: pa.RecordBatch):
-    for ids, vectors, q_ids, q_vectors in zip(*(batch.column(n).to_pylist() for n in ("ids", "vectors", "q_ids", "q_vectors"))):
+    for block, ids, vectors, q_ids, q_vectors in zip(*(batch.column(n).to_pylist() for n in ("q_block", "ids", "vectors", "q_ids", "q_vectors"))):
         ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-        yield ids, np.frombuffer(vectors, np.float64).reshape(len(ids), -1), q_ids, np.frombuffer(q_vectors, np.float64).reshape(len(q_ids), -1)
+        yield block, ids, np.frombuffer(vectors, np.float64).reshape(len(ids), -1), q_ids, np.frombuffer(q_vectors, np.float64).reshape(len(q_ids), -1)
+
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties by id. Only what reaches the k-th score is sorted."""
+    if scores.shape[1] > 4 * k:
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        most = int((scores >= least[:, None]).sum(axis=1).max())
+        some = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+        scores, ids = np.take_along_axis(scores, some, axis=1), np.take_along_axis(ids, some, axis=1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
-def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False, exclude_self: bool = False) -> DataFrame:
+
+def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False, exclude_self: bool = False, query_bytes: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items of every query; inputs are (id, vector).
 
-    signs scores the components' signs: the number of equal ones. Every block keeps its own k best, so that the last
-    ranking sees k rows for each query and item block.
+    signs scores the components' signs: the number of equal ones. A task keeps the k best of each query over all its
+    blocks, up to HELD rows, so the last ranking sees k rows for each query and task.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+
+    def out_of(held: dict) -> Iterator[pa.RecordBatch]:
+        for q_ids, scores, ids in held.values():
+            keep = np.isfinite(scores).ravel()
+            out = [np.repeat(q_ids, scores.shape[1])[keep], ids.ravel()[keep], scores.ravel()[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "item_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
         for batch in batches:
-            for ids, items_, q_ids, queries_ in _matrices(batch):
+            for block, ids, items_, q_ids, queries_ in _matrices(batch):
                 if signs:
                     items_, queries_ = np.where(items_ > 0, 1.0, -1.0), np.where(queries_ > 0, 1.0, -1.0)
                 scores = queries_ @ items_.T
                 scores = (scores + items_.shape[1]) / 2 if signs else np.round(scores, 9)
                 if exclude_self:
                     scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                keep = np.isfinite(best).ravel()
-                out = [np.repeat(q_ids, order.shape[1])[keep], ids[order].ravel()[keep], best.ravel()[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "item_id", "score"])
-
-    found = block_pairs(queries, items).mapInArrow(run, "query_id long, item_id long, score double")
+                best, own = _best(scores, np.broadcast_to(ids, scores.shape), k)
+                if block in held:
+                    best, own = _best(np.hstack([held[block][1], best]), np.hstack([held[block][2], own]), k)
+                held[block] = (q_ids, best, own)
+                if sum(x[1].size for x in held.values()) > HELD:
+                    yield from out_of(held)
+                    held = {}
+        yield from out_of(held)
+
+    found = block_pairs(queries, items, query_bytes).mapInArrow(run, "query_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def agreements(kinds: dict[str, DataFrame], base: str, k: int) -> DataFrame:
+    """(packing, overlap, agreement): what share of the base's k neighbours each kind's neighbours hold, mean over the
+    rows; kinds are (id, vector). Every kind's neighbours are found once and meet in one aggregation."""
+    size = vector_bytes(kinds[base])
+    near = [batch_topk(v, v, k, exclude_self=True, query_bytes=size).select("query_id", "item_id", F.lit(name).alias("packing")) for name, v in kinds.items()]
+    held = reduce(DataFrame.union, near).groupBy("query_id", "item_id").agg(F.collect_set("packing").alias("kinds"))
+    each = held.where(F.array_contains("kinds", base)).select(F.explode("kinds").alias("packing"))
+    rows = kinds[base].agg(F.count("*").alias("rows"))  # one row
+    counted = each.groupBy("packing").agg(F.count("*").alias("overlap")).crossJoin(F.broadcast(rows))
+    return counted.select("packing", "overlap", (F.col("overlap") / (F.col("rows") * k)).alias("agreement"))
+
+
 def agreement(one: DataFrame, other: DataFrame, k: int) -> DataFrame:
     """Mean share of the k best that two rankings have in common: overlap, queries, agreement."""
     both = one.select("query_id", "item_id").join(other.select("query_id", "item_id"), ["query_id", "item_id"])
@@ -118,7 +175,7 @@ def truth_places(queries: DataFrame, items: DataFrame, truth: DataFrame, signs:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, items_, q_ids, wide in _matrices(batch):
+            for _, ids, items_, q_ids, wide in _matrices(batch):
                 d = items_.shape[1]
                 own, true, query = wide[:, 0].astype(np.int64), wide[:, 1 : 1 + d], wide[:, 1 + d :]
                 if signs:
@@ -131,3 +188,39 @@ def truth_places(queries: DataFrame, items: DataFrame, truth: DataFrame, signs:
 
     counts = block_pairs(asked, items).mapInArrow(run, "query_id long, greater long, equal long, before long")
     return counts.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("greater", "equal", "before")))
+
+
+def group_places(sentences: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, greater, equal, before) over groups: how many groups of sentences (group_id, vector) hold a best score for
+    the item that is higher than that of its own group (group_id = item_id), equal (itself included), and equal with a
+    smaller id. Sentences are sorted by group; only counts leave a block, and one row an item for the first and the
+    last group of each block, which other blocks may hold too."""
+    own = sentences.join(items.select(F.col("id").alias("group_id"), F.col("vector").alias("item")), "group_id")
+    truth = own.groupBy("group_id").agg(F.max(F.round(dot("vector", "item"), 9)).alias("truth")).withColumnRenamed("group_id", "id")
+    asked = items.join(truth, "id").select("id", F.concat(F.array("truth"), F.transform("vector", lambda x: x.cast("double"))).alias("vector"))
+    ranged = sentences.select("group_id", "vector").repartitionByRange("group_id").sortWithinPartitions("group_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, groups, vectors_, ids, wide in _matrices(batch):
+                starts = np.flatnonzero(np.r_[True, np.diff(groups) != 0])
+                best = np.maximum.reduceat(np.round(wide[:, 1:] @ vectors_.T, 9), starts, axis=1)
+                names, mine = groups[starts], wide[:, :1]
+                inner = np.s_[:, 1:-1]
+                same = (best == mine)[inner]
+                counts = [(best > mine)[inner].sum(axis=1), same.sum(axis=1), (same & (names[None, 1:-1] < ids[:, None])).sum(axis=1)]
+                none = np.full(len(ids), np.nan)
+                rows = [(ids, *counts, np.full(len(ids), -1), none, none)]
+                for at in {0, len(starts) - 1}:
+                    zero = np.zeros(len(ids), np.int64)
+                    rows.append((ids, zero, zero, zero, np.full(len(ids), names[at]), best[:, at], wide[:, 0]))
+                columns = [np.concatenate(c) for c in zip(*rows)]
+                kinds = [pa.int64()] * 5 + [pa.float64()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "greater", "equal", "before", "group_id", "best", "truth"])
+
+    found = block_pairs(asked, ranged).mapInArrow(run, "item_id long, greater long, equal long, before long, group_id long, best double, truth double")
+    inner = found.where("group_id = -1 and isnan(best)").select("item_id", "greater", "equal", "before")
+    edges = found.where("not isnan(best)").groupBy("item_id", "group_id").agg(F.max("best").alias("best"), F.max("truth").alias("truth"))
+    same = F.col("best") == F.col("truth")
+    edges = edges.select("item_id", (F.col("best") > F.col("truth")).cast("long").alias("greater"), same.cast("long").alias("equal"), (same & (F.col("group_id") < F.col("item_id"))).cast("long").alias("before"))
+    return inner.union(edges).groupBy("item_id").agg(*(F.sum(c).alias(c) for c in ("greater", "equal", "before")))

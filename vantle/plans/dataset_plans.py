@@ -20,13 +20,13 @@ def _values(spark, rows, schema):
 _BUDGETS = ["2GB", "2GiB", "512mib", "4096", "", "2 parsecs", "0", "1.5 kb"]
 
 
-@query("""SELECT packing, budget, budget // (bytes + 127)::BIGINT AS items, bytes, round(1000 * (bytes + 127) * 100.0::DOUBLE / budget, 6) AS percent_1000 FROM
+@query("""SELECT packing, budget, budget // (bytes + 127)::BIGINT AS max_items, (bytes + 127)::DOUBLE AS bytes_per_item, 1000 * (bytes + 127) AS bytes_for_1000, 2000 * (bytes + 127) AS bytes_for_2000,
+ round(2000 * (bytes + 127) * 100.0::DOUBLE / budget, 6) AS percent_of_budget_at_2000 FROM
  (VALUES ('float32', 2048::BIGINT), ('float16', 1024), ('int8', 516), ('binary', 64)) p(packing, bytes), (VALUES (2147483648::BIGINT), (1000000000)) b(budget)""")
 def q30_capacity(spark, sf_dir):
-    packings = _values(spark, [(p,) for p in PACKINGS], "packing string").withColumn("bytes", bytes_per_vector(F.lit(512), F.col("packing")))
-    rows = packings.withColumn("budget", F.explode(F.array(F.lit(2147483648).cast("long"), F.lit(1000000000).cast("long"))))
-    percent = F.round(F.lit(1000) * (F.col("bytes") + 127) * 100.0 / F.col("budget"), 6)
-    return rows.select("packing", "budget", sizes.capacity(F.col("budget"), F.col("bytes"), F.lit(127)).alias("items"), "bytes", percent.alias("percent_1000"))
+    rows = _values(spark, [(p,) for p in PACKINGS], "packing string")
+    reports = [sizes.capacity_report(rows, F.lit(b).cast("long"), F.lit(127)).withColumn("budget", F.lit(b).cast("long")) for b in (2147483648, 1000000000)]
+    return reports[0].unionByName(reports[1]).drop("max_items_human").withColumn("percent_of_budget_at_2000", F.round("percent_of_budget_at_2000", 6))
 
 
 @query("SELECT n, n * 512 * 4 + 128 AS vectors_bytes, n + 128 AS mask_bytes, n * 512 * 4 + 128 + n + 128 AS total_bytes FROM (SELECT UNNEST([1000, 2000, 100000])::BIGINT AS n)")
@@ -36,9 +36,9 @@ def q31_npy_size(spark, sf_dir):
     return _values(spark, [(1000,), (2000,), (100000,)], "n long").select("n", vectors.alias("vectors_bytes"), mask.alias("mask_bytes"), (vectors + mask).alias("total_bytes"))
 
 
-@query("SELECT source, sum(length(text))::BIGINT AS bytes, count(*)::BIGINT AS items, sum(length(text)) / count(*)::DOUBLE AS bytes_per_item FROM documents GROUP BY source")
+@query("SELECT source, sum(strlen(text))::BIGINT AS bytes, count(*)::BIGINT AS items, sum(strlen(text)) / count(*)::DOUBLE AS bytes_per_item FROM documents GROUP BY source")
 def q32_metadata_bytes(spark, sf_dir):
-    size = F.sum(F.length("text"))
+    size = F.sum(F.octet_length("text"))
     return table(spark, sf_dir, "documents").groupBy("source").agg(size.alias("bytes"), F.count("*").alias("items"), (size / F.count("*")).alias("bytes_per_item"))
 
 
@@ -50,7 +50,7 @@ def q33_parse_budget(spark, sf_dir):
     return _values(spark, [(b,) for b in _BUDGETS], "budget string").select("budget", sizes.parse_budget(F.col("budget")).alias("bytes"))
 
 
-@query("""SELECT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024.0::DOUBLE) || ' KiB' WHEN n < 1073741824 THEN printf('%.2f', n / 1048576.0::DOUBLE) || ' MiB'
+@query("""SELECT n, CASE WHEN n < 1024 THEN printf('%.2f', n::DOUBLE) || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024.0::DOUBLE) || ' KiB' WHEN n < 1073741824 THEN printf('%.2f', n / 1048576.0::DOUBLE) || ' MiB'
  WHEN n < 1099511627776 THEN printf('%.2f', n / 1073741824.0::DOUBLE) || ' GiB' ELSE printf('%.2f', n / 1099511627776.0::DOUBLE) || ' TiB' END AS readable
  FROM (SELECT UNNEST([0, 1023, 1024, 64128, 2175559, 5368709120, 3298534883328])::BIGINT AS n)""")
 def q34_readable_bytes(spark, sf_dir):
@@ -83,9 +83,9 @@ def q42_claim_reindex_limit(spark, sf_dir):
     return dataset.reindexed(once, "doc_id", 100)
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM (SELECT doc_id, text FROM documents WHERE lang = 'en')")
 def q42b_reindex(spark, sf_dir):
-    return dataset.reindexed(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id")
+    return dataset.reindexed(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id")
 
 
 @query("SELECT vec_id, label::BIGINT AS label, text FROM embeddings JOIN documents ON doc_id = vec_id")
@@ -106,9 +106,11 @@ def q45_caption_list(spark, sf_dir):
     return lists.select("conv_id", F.array_join("roles", "|").alias("roles"), F.size("roles").cast("long").alias("n"))
 
 
-@query("SELECT string_split(url, '?v=')[-1] AS parent, count(*)::BIGINT AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
+@query("SELECT string_split(url, '?v=')[-1] AS parent, count(*)::BIGINT AS n, min(page_id) AS first_page, array_to_string(list(page_id ORDER BY page_id), ',') AS pages FROM pages GROUP BY 1")
 def q46_url_parents(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(T.parent_url(F.col("url")).alias("parent")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+    rows = table(spark, sf_dir, "pages").select(T.parent_url(F.col("url")).alias("parent"), "page_id")
+    children = dataset.ordered_list(rows, "parent", "page_id", "page_id", "pages")
+    return children.select("parent", F.size("pages").cast("long").alias("n"), F.element_at("pages", 1).alias("first_page"), F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS paragraph FROM conversations GROUP BY conv_id")
@@ -128,9 +130,9 @@ def q49_cut_offs(spark, sf_dir):
 
 
 @query("""SELECT p[1] AS clip_id, p[2]::DOUBLE AS start_s, p[3]::DOUBLE AS end_s, p[6] AS sentence FROM
- (SELECT string_split(concat_ws(chr(9), 'clip' || doc_id, doc_id, doc_id + 5, doc_id, doc_id + 6, replace(left(text, 40), chr(9), ' ')), chr(9)) AS p FROM documents)""")
+ (SELECT string_split(concat_ws(chr(9), 'clip' || doc_id, doc_id, doc_id + 5, doc_id, doc_id + 6, replace(text, chr(9), ' ')), chr(9)) AS p FROM documents)""")
 def q50_tab_split(spark, sf_dir):
-    line = F.concat_ws("\t", F.concat(F.lit("clip"), F.col("doc_id")), *[(F.col("doc_id") + n).cast("string") for n in (0, 5, 0, 6)], F.translate(F.substring("text", 1, 40), "\t", " "))
+    line = F.concat_ws("\t", F.concat(F.lit("clip"), F.col("doc_id")), *[(F.col("doc_id") + n).cast("string") for n in (0, 5, 0, 6)], F.translate("text", "\t", " "))
     p = F.split(line, "\t")
     return table(spark, sf_dir, "documents").select(p[0].alias("clip_id"), p[1].cast("double").alias("start_s"), p[2].cast("double").alias("end_s"), p[5].alias("sentence"))
 
@@ -244,12 +246,25 @@ def q71_pretokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("tokens"))
 
 
-@query(None)
-def q72_bpe(spark, sf_dir):
+@query(f"""WITH t AS (SELECT doc_id, list_transform({_PRE.format(_CLEAN)}, lambda t: encode(t)) AS b FROM documents) SELECT doc_id, list_sum(list_transform(b, lambda x: octet_length(x)))::BIGINT AS n FROM t""")
+def q72_bpe_bytes(spark, sf_dir):
+    """Without merges every byte is a piece."""
     from vantle.functions.bpe import encode
 
-    merges = [("t", "h"), ("th", "e</w>"), ("a", "n"), ("an", "d</w>"), ("i", "n</w>"), ("e", "r</w>")]
-    return table(spark, sf_dir, "documents").select("doc_id", encode(merges)(T.clean(F.col("text"))).alias("pieces")).select("doc_id", F.size("pieces").cast("long").alias("n"), F.array_join("pieces", " ").alias("pieces"))
+    found = encode([])(T.clean(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(found) > 0, F.size(found)).cast("long").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter({_PRE.format(_CLEAN)}, lambda w: regexp_full_match(w, '[a-z]+')) AS w FROM documents),
+ m AS (SELECT doc_id, list_transform(w, lambda x: 1 + length(replace(replace(left(x, length(x) - CASE WHEN ends_with(x, 'the') OR ends_with(x, 'and') THEN 3 ELSE 1 END), 'th', '1'), 'an', '2'))) AS k FROM t)
+ SELECT doc_id, coalesce(list_sum(k), 0)::BIGINT AS n FROM m""")
+def q72b_bpe_merges(spark, sf_dir):
+    """Pieces of the plain words under four merges."""
+    from vantle.functions.bpe import encode
+
+    merges = [("t", "h"), ("th", "e</w>"), ("a", "n"), ("an", "d</w>")]
+    words = F.array_join(F.filter(T.pretokens(F.col("text")), lambda w: w.rlike("^[a-z]+$")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(encode(merges, ids=True)(words)).cast("long").alias("n"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_transform({_PRE.format(_CLEAN)}, lambda t: len(t)::BIGINT) AS ids FROM documents), b AS (SELECT doc_id, list_append(list_slice(list_prepend(101, ids), 1, 31), 102) AS b FROM w)

@@ -131,13 +131,7 @@ def _unpacked(spark, sf_dir):
 
 
 def _agreements(spark, sf_dir):
-    kinds = _unpacked(spark, sf_dir)
-    base = search.batch_topk(kinds["float32"], kinds["float32"], 10, exclude_self=True)
-    parts = [search.agreement(base, search.batch_topk(v, v, 10, exclude_self=True), 10).select(F.lit(k).alias("packing"), "overlap", "agreement") for k, v in kinds.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return search.agreements(_unpacked(spark, sf_dir), "float32", 10)
 
 
 @query(f"WITH {_NEIGHBOURS} SELECT packing, overlap, overlap / ((SELECT count(*) FROM embeddings) * 10.0::DOUBLE) AS agreement FROM agree")
@@ -198,6 +192,15 @@ def q18_masked_mean(spark, sf_dir):
     return out.select("label", F.col("at").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
+@query("""WITH m AS (SELECT label AS l, min(vec_id) AS first FROM embeddings GROUP BY label),
+ f AS (SELECT label, CASE WHEN vec_id % 3 = 0 OR vec_id = first THEN 0.0 ELSE 1.0 END::DOUBLE AS m, (UNNEST(range(64)))::BIGINT AS pos, UNNEST(embedding)::DOUBLE AS x FROM embeddings JOIN m ON l = label)
+ SELECT label::BIGINT AS label, pos, round(sum(x * m) / CASE WHEN sum(m) = 0 THEN 1 ELSE sum(m) END, 6) AS value FROM f GROUP BY ALL""")
+def q18b_masked_text_mean(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
+    out = pooling.masked_text_mean(rows, "label", "vec_id", F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0))
+    return out.select("label", F.col("at").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
 @query("""WITH f AS (SELECT label, CASE WHEN vec_id % 3 = 2 AND vec_id % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS m, (UNNEST(range(64)))::BIGINT AS pos, UNNEST(embedding)::DOUBLE AS x FROM embeddings)
  SELECT label::BIGINT AS label, pos, round(sum(x * m) / CASE WHEN sum(m) = 0 THEN 1 ELSE sum(m) END, 6) AS value FROM f GROUP BY ALL""")
 def q19_late_fusion(spark, sf_dir):
@@ -259,26 +262,28 @@ _GROUPS = f"""v AS (SELECT label::BIGINT AS video_id, embedding FROM embeddings
  s AS (SELECT t.label::BIGINT AS group_id, t.vec_id AS sentence_id, v.video_id, round({_DOT.format('t.embedding', 'v.embedding')}, 9) AS score FROM embeddings t, v WHERE t.vec_id % 2 = 0)"""
 
 
-def _sentence_scores(spark, sf_dir):
+def _sentences_and_videos(spark, sf_dir):
+    """(vec_id, group_id, vector) and (id, vector): a group's video stands under the group's number."""
     rows = vectors(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
-    videos = rows.where("vec_id % 2 = 1").groupBy("label").agg(F.max_by("embedding", "vec_id").alias("v")).select(F.col("label").alias("vec_id"), "v")
-    sentences = rows.where("vec_id % 2 = 0").select("vec_id", "label", "embedding")
-    scores = search.batch_topk(sentences.select("vec_id", "embedding"), videos, 1 << 30)
-    return scores.join(sentences.select(F.col("vec_id").alias("query_id"), F.col("label").alias("group_id")), "query_id").select("group_id", F.col("query_id").alias("sentence_id"), F.col("item_id").alias("video_id"), "score")
+    videos = ranking.group_members(rows.where("vec_id % 2 = 1"), "label", "vec_id").select(F.col("label").alias("id"), F.col("embedding").alias("vector"))
+    return rows.where("vec_id % 2 = 0").select("vec_id", F.col("label").alias("group_id"), F.col("embedding").alias("vector")), videos
 
 
 @query(f"""WITH {_GROUPS}, r AS (SELECT group_id, video_id, row_number() OVER (PARTITION BY sentence_id ORDER BY score DESC, video_id) AS rank FROM s)
  SELECT {_METRICS.format(median='quantile_disc(rank, 0.5)')} FROM r WHERE group_id = video_id""")
 def q23_multi_sentence_metrics(spark, sf_dir):
-    ranks = ranking.ranked(_sentence_scores(spark, sf_dir), "sentence_id", "video_id").where("group_id = video_id")
-    return ranking.recall_metrics(ranks, lower_median=True)
+    sentences, videos = _sentences_and_videos(spark, sf_dir)
+    truth = sentences.select(F.col("vec_id").alias("query_id"), F.col("group_id").alias("item_id"))
+    places = search.truth_places(sentences.select("vec_id", "vector"), videos, truth)
+    return ranking.recall_metrics(ranking.positions(places, "ordinal"), lower_median=True)
 
 
 @query(f"""WITH {_GROUPS}, m AS (SELECT group_id, video_id, max(score) AS score FROM s GROUP BY ALL), r AS (SELECT group_id, video_id, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, group_id) AS rank FROM m)
  SELECT {_METRICS.format(median='median(rank)')} FROM r WHERE group_id = video_id""")
 def q24_best_sentence_metrics(spark, sf_dir):
-    ranks = ranking.ranked(ranking.best_sentence(_sentence_scores(spark, sf_dir)), "video_id", "group_id").where("group_id = video_id")
-    return ranking.recall_metrics(ranks)
+    sentences, videos = _sentences_and_videos(spark, sf_dir)
+    places = search.group_places(sentences.select("group_id", "vector"), videos)
+    return ranking.recall_metrics(ranking.positions(places.withColumnRenamed("item_id", "query_id"), "ordinal"))
 
 
 #: Pairs in a training batch.
@@ -310,8 +315,21 @@ def q26_margin_loss(spark, sf_dir):
     return ranking.margin_loss(_batch_scores(spark, sf_dir), 0.1).withColumn("loss", F.round("loss", 6))
 
 
-@query(f"""WITH {_BATCHES}, u AS (SELECT batch, q AS k, score FROM s UNION ALL SELECT batch, v, score FROM s), m AS (SELECT k, max(score) AS mx FROM u GROUP BY k),
+@query(f"""WITH {_BATCHES}, d AS (SELECT * FROM s WHERE q = v), n AS (SELECT batch, count(DISTINCT q // 4) AS n FROM d GROUP BY batch)
+ SELECT s.batch, round(avg((greatest(0, 0.1 + s.score - a.score) + greatest(0, 0.1 + s.score - b.score)) * CASE WHEN n = 1 THEN 1 WHEN s.q // 4 = s.v // 4 THEN n * 0.7::DOUBLE ELSE n * 0.3::DOUBLE / (n - 1) END), 6) AS loss
+ FROM s JOIN d a ON a.q = s.q JOIN d b ON b.v = s.v JOIN n ON n.batch = s.batch GROUP BY s.batch""")
+def q26b_weighted_margin_loss(spark, sf_dir):
+    return ranking.margin_loss(_batch_scores(spark, sf_dir), 0.1, pairs=4, hard_rate=0.7).withColumn("loss", F.round("loss", 6))
+
+
+@query(f"""WITH {_BATCHES}, u AS (SELECT batch, q AS k, score FROM s UNION ALL SELECT batch, v, score FROM s WHERE q <> v), m AS (SELECT k, max(score) AS mx FROM u GROUP BY k),
  l AS (SELECT u.batch, u.k, ln(sum(exp(score - mx))) + max(mx) AS l FROM u JOIN m ON u.k = m.k GROUP BY ALL)
- SELECT l.batch, round(avg(l - d.score - ln(2.0)), 6) AS loss FROM l JOIN s d ON d.q = l.k AND d.v = l.k GROUP BY l.batch""")
+ SELECT l.batch, round(avg(l - d.score), 6) AS loss FROM l JOIN s d ON d.q = l.k AND d.v = l.k GROUP BY l.batch""")
 def q27_nce_loss(spark, sf_dir):
     return ranking.nce_loss(_batch_scores(spark, sf_dir)).withColumn("loss", F.round("loss", 6))
+
+
+@query("SELECT label::BIGINT AS label, max(vec_id) AS vec_id FROM embeddings GROUP BY label")
+def q49b_group_members(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("label"), "vec_id")
+    return ranking.group_members(rows, "label", "vec_id").select("label", "vec_id")
