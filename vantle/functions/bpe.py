@@ -1,19 +1,35 @@
-"""Byte-pair pieces of captions under a given list of merges, remembered for each word of a worker."""
+"""Byte-level pieces of captions under a given list of merges, with ids, remembered for each word of a worker."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_+")
+from vantle.functions.text import PRETOKEN
+
+#: A pre-token's last piece ends in this.
+END = "</w>"
+_MARKS = ("<|startoftext|>", "<|endoftext|>")
+_TOKEN = regex.compile("|".join([*map(regex.escape, _MARKS), PRETOKEN]), regex.IGNORECASE)
+
+
+def byte_letters() -> list[str]:
+    """A printable letter for each byte: bytes that print in Latin-1 stand for themselves, others get letters from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+LETTERS = byte_letters()
+_BYTES = {c: b for b, c in enumerate(LETTERS)}
 
 
 def pieces(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """The word's letters, its last marked as an end, merged by the lowest rank until none applies."""
-    parts = [*word[:-1], word[-1] + "</w>"]
+    parts = [*word[:-1], word[-1] + END]
     while len(parts) > 1:
         ranked = [(ranks[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
         if not ranked:
@@ -31,28 +47,48 @@ def pieces(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
-def encode(merges: list[tuple[str, str]]):
-    """A UDF from cleaned text to its pieces."""
-    ranks = {pair: i for i, pair in enumerate(merges)}
+def vocabulary(merges: list[tuple[str, str]]) -> dict[str, int]:
+    """Ids: letters in the order of their code points as bytes print, the same as ends, merges, then the marks."""
+    own = sorted(LETTERS, key=lambda c: (ord(c) >= 256, ord(c)))
+    names = [*own, *(c + END for c in own), *(a + b for a, b in merges), *_MARKS]
+    return {name: i for i, name in enumerate(names)}
+
 
-    @F.pandas_udf("array<string>")
+def tokens(text: str, ranks: dict[tuple[str, str], int], known: dict[str, list[str]]) -> list[str]:
+    """Pieces of a cleaned text; known remembers words."""
+    out: list[str] = []
+    for word in _TOKEN.findall(text):
+        if word in _MARKS:
+            out.append(word)
+            continue
+        if word not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[word] = pieces("".join(LETTERS[b] for b in word.encode("utf-8", "replace")), ranks)
+        out += known[word]
+    return out
+
+
+def encode(merges: list[tuple[str, str]], ids: bool = False):
+    """A UDF from cleaned text to its pieces, or to their ids; null gives none."""
+    ranks, place = {pair: i for i, pair in enumerate(merges)}, vocabulary(merges)
+
+    @F.pandas_udf("array<long>" if ids else "array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, list[str]] = {}
         for texts in batches:
-            out = []
-            for text in texts:
-                found: list[str] = []
-                for word in _TOKEN.findall(text or ""):
-                    if word not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[word] = pieces(word, ranks)
-                    found += known[word]
-                out.append(found)
-            yield pd.Series(out)
+            found = [tokens(text or "", ranks, known) for text in texts]
+            yield pd.Series([[place[p] for p in f] for f in found] if ids else found)
 
     return run
 
 
 def decode(pieces_: list[str]) -> str:
-    return "".join(pieces_).replace("</w>", " ").strip()
+    """The text that pieces stand for, with a space behind each word."""
+    data = "".join(pieces_).replace(END, LETTERS[32])
+    return bytes(_BYTES[c] for c in data).decode("utf-8", "replace")
+
+
+def decode_ids(ids: list[int], merges: list[tuple[str, str]]) -> str:
+    names = list(vocabulary(merges))
+    return decode([names[i] for i in ids])

@@ -1,71 +1,192 @@
-"""A vector store in a folder: items, vectors or packed payloads, failures and a manifest that is written last."""
+"""A vector store in a folder: a listing of items, vectors or packed payloads, failures, a report and a manifest.
+
+The listing is written first and the manifest says "building" from then on, so that a build can be resumed; vectors are
+appended batch by batch, and only rows that are missing, so a batch may be repeated.
+"""
 
 from __future__ import annotations
 
 import json
+import os
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantle.functions import sizes
 from vantle.functions import vectors as V
+from vantle.operators import ranking, search
+from vantle.operators.config import identity
 
 FORMAT = 1
+LISTING = "row_index long, video_id string, path string, caption string"
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, path.rstrip("/") or "/"
+
+    # files
 
-    def _fs(self):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _fs(self, name: str = ""):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
+    def _has(self, name: str) -> bool:
+        fs, target = self._fs(name)
+        return fs.exists(target)
+
     def exists(self) -> bool:
         fs, target = self._fs()
         return fs.exists(target) and len(fs.listStatus(target)) > 0
 
+    def bytes_of(self, *names: str) -> int:
+        """Bytes of parts of the store, of all of it where none is named."""
+        total = 0
+        for name in names or ("",):
+            fs, target = self._fs(name)
+            total += fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+        return total
+
     def manifest(self) -> dict:
         return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest").collect()))
 
-    def _seal(self, **values) -> None:
-        text = json.dumps({"format_version": FORMAT, **values}, sort_keys=True, allow_nan=False)
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
+    def _seal(self, name: str = "manifest", **values) -> None:
+        text = json.dumps(values, sort_keys=True, allow_nan=False, ensure_ascii=False)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}")
+
+    # building
 
     def _guard(self, overwrite: bool) -> None:
-        """Refuses to write over a folder that holds no store, and over a store unless told so."""
-        if self.exists():
-            fs, _ = self._fs()
-            if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")):
+        """Refuses to write over a folder that holds no store, over a store unless told so, and over a user's folders."""
+        if not self.exists():
+            return
+        if overwrite:
+            if os.path.realpath(self.path.removeprefix("file://")) in {os.path.realpath(p) for p in ("/", os.path.expanduser("~"), os.getcwd())}:
+                raise ValueError(f"{self.path} isn't overwritten")
+            if not self._has("manifest"):
                 raise FileExistsError(f"{self.path} holds files of something else")
-            if not overwrite:
-                raise FileExistsError(f"{self.path} exists")
+            fs, target = self._fs()
+            fs.delete(target, True)
+        elif self._has("manifest"):
+            raise FileExistsError(f"{self.path} exists")
+        else:
+            raise FileExistsError(f"{self.path} holds files of something else")
+
+    def initialize(self, items: DataFrame, config: dict, dimension: int, overwrite: bool = False, resume: bool = False) -> None:
+        """A new store of items (row_index, video_id, path, caption), or with resume an existing one after a look at its
+        listing, configuration (device and precision aside) and dimension."""
+        items = items.select(*(f.split()[0] for f in LISTING.split(", ")))
+        if resume:
+            if not self._has("manifest"):
+                raise FileNotFoundError(f"there is no store to resume in {self.path}")
+            self.resume(items, config, dimension)
+            return
+        self._guard(overwrite)
+        items.write.mode("overwrite").json(f"{self.path}/items")
+        self._seal(format_version=FORMAT, created_at=_now(), count=self.listing().count(), embedding_dim=dimension, config=config, packing="float32", status="building")
+
+    def resume(self, items: DataFrame, config: dict, dimension: int | None = None) -> DataFrame:
+        """Items that are still to do; items, configuration and dimension must be the stored ones."""
+        known = self.manifest()
+        if identity(known.get("config", {})) != identity(config) or dimension not in (None, known["embedding_dim"]):
+            raise ValueError("the store was built with another configuration")
+        names = [c for c in ("row_index", "video_id", "path") if c in items.columns]
+        mine, theirs = items.select(names), self.listing().select(names)
+        if not (mine.exceptAll(theirs).isEmpty() and theirs.exceptAll(mine).isEmpty()):
+            raise ValueError("the store holds other items")
+        return self.pending()
+
+    def append(self, batch: DataFrame) -> None:
+        """Encoded rows (row_index, video_id, embedding, error): good ones that are missing to vectors, others to failures."""
+        good = batch.where("error is null").select("row_index", "embedding")
+        if self._has("vectors"):
+            good = good.join(self.stored().select("row_index"), "row_index", "left_anti")
+        good.write.mode("append").parquet(f"{self.path}/vectors")
+        bad = batch.where("error is not null").select(*[c for c in ("row_index", "video_id", "path", "error") if c in batch.columns])
+        bad.write.mode("append").json(f"{self.path}/failures")
+
+    def enlist(self, items: DataFrame) -> None:
+        """Adds items that the listing lacks."""
+        items = items.select(*(F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in (f.split()[0] for f in LISTING.split(", "))))
+        if self._has("items"):
+            items = items.join(self.listing().select("row_index"), "row_index", "left_anti")
+        items.write.mode("append").json(f"{self.path}/items")
 
-    def import_vectors(self, rows: DataFrame, normalize: bool = True, overwrite: bool = False, **provenance) -> None:
-        """Items (row_index, video_id, caption, embedding); values must be finite; vectors that are unit stay as they are."""
+    def finish(self, **report) -> dict:
+        """Counts what is there, writes the report and the manifest: complete, or partial."""
+        count, done = self.listing().count(), self.stored().count()
+        known = self.manifest() if self._has("manifest") else {"format_version": FORMAT, "created_at": _now(), "packing": "float32", "config": {}}
+        known["embedding_dim"] = known.get("embedding_dim") or (self.stored().agg(F.max(F.size("embedding"))).first()[0] or 0)
+        whole = {"finished_at": _now(), "requested_count": count, "completed_count": done, **report, "database_files_bytes": self.bytes_of()}
+        self._seal("report", **whole)
+        self._seal(**{**known, "count": count, "completed_count": done, "status": "complete" if done == count else "partial"})
+        return whole
+
+    def import_vectors(self, rows: DataFrame, normalize: bool = False, overwrite: bool = False, **provenance) -> dict:
+        """Items (row_index, video_id, caption, embedding and, if known, path). Values must be finite; vectors are made
+        unit only where that is asked for and one isn't."""
         self._guard(overwrite)
-        checks = rows.agg(F.bool_and(V.all_finite("embedding")).alias("finite"), F.bool_and(V.is_unit("embedding")).alias("unit"), F.max(F.size("embedding")).alias("most"), F.min(F.size("embedding")).alias("least"), F.count("*").alias("n")).first()
+        checks = rows.agg(F.bool_and(V.all_finite("embedding")).alias("finite"), F.bool_and(V.is_unit("embedding")).alias("unit"), F.max(F.size("embedding")).alias("most"), F.min(F.size("embedding")).alias("least"), F.count("*").alias("n"), F.count("caption").alias("captions")).first()
         if checks["finite"] is False:
             raise ValueError("vectors hold values that aren't finite")
         if checks["most"] != checks["least"]:
             raise ValueError("vectors differ in length")
-        if normalize and not checks["unit"]:
+        again = bool(normalize and not checks["unit"])
+        resolved = "path" in rows.columns
+        if again:
             rows = rows.withColumn("embedding", F.transform(V.normalized("embedding"), lambda x: x.cast("float")))
-        rows.withColumn("completed", F.lit(True)).write.mode("overwrite").parquet(f"{self.path}/items")
-        self._seal(count=checks["n"], embedding_dim=checks["most"] or 0, packing="float32", status="complete", was_normalized=bool(checks["unit"]), **provenance)
+        path = F.col("path") if resolved else F.col("video_id")
+        rows.select("row_index", "video_id", path.alias("path"), "caption").write.mode("overwrite").json(f"{self.path}/items")
+        rows.select("row_index", "embedding").write.mode("overwrite").parquet(f"{self.path}/vectors")
+        flags = {"origin": "imported", "imported_at": _now(), "source_normalized": bool(checks["unit"]), "renormalized_on_import": again, "paths_resolved": resolved, "captions": checks["captions"] > 0}
+        provenance = {"config": {}, **provenance}
+        self._seal(format_version=FORMAT, count=checks["n"], completed_count=checks["n"], embedding_dim=checks["most"] or 0, packing="float32", status="complete", **flags, **provenance)
+        return {"output_dir": self.path, "count": checks["n"], "dimension": checks["most"] or 0, "source_normalized": bool(checks["unit"]), "captions": checks["captions"], "paths_resolved": resolved, "database_bytes": self.bytes_of()}
 
-    def items(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/items")
+    # reading
 
-    def vectors(self) -> DataFrame:
-        """items with embedding as doubles, whatever the packing."""
-        rows, manifest = self.items(), self.manifest()
+    def listing(self) -> DataFrame:
+        return self.spark.read.schema(LISTING).json(f"{self.path}/items")
+
+    def stored(self) -> DataFrame:
+        """Vectors as they are packed."""
+        if not self._has("vectors"):
+            return self.spark.createDataFrame([], "row_index long, embedding array<float>")
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
+    def pending(self) -> DataFrame:
+        return self.listing().join(self.stored().select("row_index"), "row_index", "left_anti")
+
+    def decoded(self) -> DataFrame:
+        """(row_index, embedding) as doubles, whatever the packing."""
+        manifest = self.manifest()
+        doubles = lambda: F.transform("embedding", lambda x: x.cast("double"))
         value = {
-            "float32": lambda: F.transform("embedding", lambda x: x.cast("double")),
-            "float16": lambda: F.transform("embedding", lambda x: x.cast("double")),
+            "float32": doubles,
+            "float16": doubles,
             "int8": lambda: V.unpack_int8("embedding", "scale"),
             "binary": lambda: F.transform(V.unpack_bits("embedding", manifest["embedding_dim"]), lambda x: x.cast("double")),
         }[manifest["packing"]]
-        return rows.withColumn("embedding", value())
+        return self.stored().select("row_index", value().alias("embedding"))
+
+    def vectors(self) -> DataFrame:
+        """The listing with embedding as doubles; null where an item isn't done (completed says so)."""
+        return self.listing().join(self.decoded(), "row_index", "left").withColumn("completed", F.col("embedding").isNotNull())
+
+    def metadata_bytes(self) -> dict:
+        """Bytes of the listing and the manifest, and an item's share."""
+        count = self.manifest()["count"]
+        if count < 1:
+            raise ValueError("the store is empty")
+        parts = {f"{n}_bytes": self.bytes_of(n) for n in ("items", "manifest")}
+        return {**parts, "count": count, "total_bytes": sum(parts.values()), "bytes_per_item": sum(parts.values()) / count}
+
+    # operators over whole stores
 
     def pack(self, target: str, packing: str, overwrite: bool = False) -> Store:
         """The store in another packing at another place."""
@@ -75,26 +196,74 @@ class Store:
             raise ValueError(f"unknown packing {packing}")
         out = Store(self.spark, target)
         out._guard(overwrite)
-        rows = self.vectors()
-        packed = {
-            "float32": lambda: rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("float"))),
-            "float16": lambda: rows.withColumn("embedding", F.transform(V.pack_half("embedding"), lambda x: x.cast("float"))),
-            "int8": lambda: rows.withColumn("scale", V.int8_scale("embedding")).withColumn("embedding", V.pack_int8("embedding")),
-            "binary": lambda: rows.withColumn("embedding", V.pack_bits("embedding")),
-        }[packing]()
-        packed.write.mode("overwrite").parquet(f"{out.path}/items")
-        out._seal(**{k: v for k, v in self.manifest().items() if k not in ("format_version", "packing")}, packing=packing)
+        packed(self.decoded(), packing).write.mode("overwrite").parquet(f"{out.path}/vectors")
+        self.listing().write.mode("overwrite").json(f"{out.path}/items")
+        known = self.manifest()
+        out._seal(**{**known, "packing": packing, "packed_at": _now(), "packed_from": self.path, "source_packing": known["packing"]})
         return out
 
-    def append(self, batch: DataFrame) -> None:
-        """Encoded rows (row_index, video_id, embedding, error): good ones to items, others to failures."""
-        good = batch.where("error is null").select("row_index", "video_id", F.lit(None).cast("string").alias("caption"), "embedding", F.lit(True).alias("completed"))
-        good.write.mode("append").parquet(f"{self.path}/items")
-        batch.where("error is not null").select("row_index", "video_id", "error").write.mode("append").json(f"{self.path}/failures")
-
-    def resume(self, items: DataFrame, config: dict) -> DataFrame:
-        """Items that are still to do; the configuration must be the stored one but for device and precision."""
-        same = lambda c: {k: v for k, v in c.items() if k not in ("device", "precision")}
-        if same(self.manifest().get("config", {})) != same(config):
-            raise ValueError("the store was built with another configuration")
-        return items.join(self.items().select("row_index"), "row_index", "left_anti")
+    def search(self, query: list[float], k: int = 10) -> DataFrame:
+        """rank, row_index, video_id, path, caption and score of the k best completed items."""
+        manifest = self.manifest()
+        if len(query) != manifest["embedding_dim"]:
+            raise ValueError(f"the query has {len(query)} components, the store's vectors have {manifest['embedding_dim']}")
+        score = search.binary_score(query, len(query)) if manifest["packing"] == "binary" else search.exact_score(query)
+        hits = search.topk(self.decoded(), score, k, "row_index").select("row_index", "score", "rank")
+        return self.listing().join(F.broadcast(hits), "row_index").orderBy("rank")  # k rows
+
+    def evaluate(self, texts: DataFrame, recall_at: tuple[int, ...] = (1, 5, 10)) -> dict:
+        """Retrieval of items by text vectors (row_index, embedding), of which row i describes item i. The store must be
+        complete, and both must have the same rows and dimension. Ties count against the truth."""
+        manifest = self.manifest()
+        items, dimension = self.decoded().toDF("id", "vector"), manifest["embedding_dim"]
+        found = texts.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+        listed, done = self.listing().count(), items.count()
+        if done != listed:
+            raise ValueError(f"{listed - done} items aren't done; only a complete store can be evaluated")
+        if found["n"] and (found["least"], found["most"]) != (dimension, dimension):
+            raise ValueError(f"text vectors must have {dimension} components")
+        if found["n"] != listed:
+            raise ValueError(f"there are {found['n']} text vectors for {listed} items")
+        queries = texts.select("row_index", V.normalized("embedding").alias("embedding")).toDF("id", "vector")
+        truth = queries.select(F.col("id").alias("query_id"), F.col("id").alias("item_id"))
+        ranks = ranking.positions(search.truth_places(queries, items, truth, manifest["packing"] == "binary"))
+        out = ranks.agg(*(F.avg((F.col("rank") <= k).cast("double") * 100).alias(f"R@{k}") for k in recall_at), F.median("rank").alias("MedianR"), F.avg("rank").alias("MeanR"), F.count("*").alias("queries")).first()
+        return {"db": self.path, "packing": manifest["packing"], **out.asDict()}
+
+    def compare(self, k: int = 10) -> dict:
+        """Of every packing: bytes, mean cosine to the stored vectors, and agreement of the k nearest neighbours."""
+        dimension, rows = self.manifest()["embedding_dim"], self.decoded()
+        count = rows.count()
+        if count < 2:
+            raise ValueError("two items at least are needed")
+        k = min(k, count - 1)
+        kinds = {p: unpacked(packed(rows, p), p, dimension).select("row_index", "embedding") for p in V.PACKINGS}
+        kinds = {"source": rows.select("row_index", "embedding"), **kinds}
+        agree = {r["packing"]: r["agreement"] for r in search.agreements(kinds, "source", k).collect()}
+        source, out = rows.select("row_index", F.col("embedding").alias("own")), []
+        for p in V.PACKINGS:
+            cosine = None  # signs keep no magnitude
+            if p != "binary":
+                cosine = kinds[p].join(source, "row_index").agg(F.avg(V.dot(V.normalized("embedding"), V.normalized("own")))).first()[0]
+            each = {"float32": 4 * dimension, "float16": 2 * dimension, "int8": dimension, "binary": -(-dimension // 8)}[p]
+            file = count * each + sizes.NPY_HEADER + (count * 4 + sizes.NPY_HEADER if p == "int8" else 0)
+            out.append({"packing": p, "bytes_per_item": each + 4 * (p == "int8"), "vector_file_bytes": file, "mean_cosine_to_float32": cosine, f"neighbour_agreement_at_{k}": agree.get(p, 0.0)})
+        return {"source_dir": self.path, "count": count, "dimension": dimension, "top_k": k, "packings": out}
+
+
+def packed(rows: DataFrame, packing: str) -> DataFrame:
+    """(row_index, embedding and, for int8, scale) of rows of doubles."""
+    return {
+        "float32": lambda: rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("float"))),
+        "float16": lambda: rows.withColumn("embedding", F.transform(V.pack_half("embedding"), lambda x: x.cast("float"))),
+        "int8": lambda: rows.withColumn("scale", V.int8_scale("embedding")).withColumn("embedding", V.pack_int8("embedding")),
+        "binary": lambda: rows.withColumn("embedding", V.pack_bits("embedding")),
+    }[packing]()
+
+
+def unpacked(rows: DataFrame, packing: str, dimension: int) -> DataFrame:
+    if packing == "int8":
+        return rows.withColumn("embedding", V.unpack_int8("embedding", "scale"))
+    if packing == "binary":
+        return rows.withColumn("embedding", F.transform(V.unpack_bits("embedding", dimension), lambda x: x.cast("double")))
+    return rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))

@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from vantle.operators.config import BuildConfig
 from vantle.operators.encoders import encode_items
 from vantle.operators.store import Store
 
 
-def build_stream(items: DataFrame, store: Store, decode: Callable, checkpoint: str, encoder: str = "stub") -> StreamingQuery:
-    """Encodes a stream of (row_index, video_id, path); a batch that is replayed adds only rows that are missing."""
+def build_stream(items: DataFrame, store: Store, decode: Callable, checkpoint: str, config: BuildConfig | None = None) -> StreamingQuery:
+    """Encodes a stream of (row_index, video_id, path). Any batch may be replayed: only rows that are missing are added,
+    and the manifest is written anew behind each batch."""
 
     def add(batch: DataFrame, number: int) -> None:
-        encoded = encode_items(batch, decode, encoder).persist()
-        if number and store.exists():
-            store.append(encoded.join(store.items().select("row_index"), "row_index", "left_anti"))
-        else:
-            store.append(encoded)
+        store.enlist(batch)
+        encoded = encode_items(batch, decode, config).persist()
+        store.append(encoded)
+        store.finish(failed_this_run=encoded.where("error is not null").count(), batch=number)
         encoded.unpersist()
 
     return items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
