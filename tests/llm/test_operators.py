@@ -117,7 +117,8 @@ def test_shared_passages(docs, none):
     touched = {r["doc_id"] for r in found} | {r["other_id"] for r in found}
     assert {1, 2, 3, 15} <= touched and not touched & {7, 8, 11}
     assert substrings.shared_passages(none).count() == 0
-    assert substrings.chains([(0, 0), (5, 5), (9, 3), (10, 10)])[0] == [(0, 0), (5, 5), (10, 10)]
+    assert substrings.chains([(0, 0), (5, 5), (9, 3), (10, 10)])[0] == [(0, 0, 10, 3)]
+    assert substrings.chains([(0, 0), (9, 8), (9, 3), (20, 19)])[0] == [(0, 0, 0, 1), (9, 8, 9, 1), (20, 19, 20, 1)]
 
 
 def test_passages_whose_parts_others_share(spark):
