@@ -27,12 +27,13 @@ from vantle.llm.common import mixed, odd_numbers, sized, word_hashes, written
 MASKS = ("11111", "110111", "1101011", "11001011", "1010111")
 LIGHT_MASKS, LIGHT_TOKENS = ("11011", "110101", "1100101", "10111", "1001011"), 12
 #: Bits of the filter for each hash, bits at least and at most (powers of two), probes of each hash, bits of a segment.
-BITS_EACH, LEAST_BITS, MOST_BITS, PROBES, SEGMENT = 16, 1 << 18, 1 << 29, 4, 1 << 16
+BITS_EACH, LEAST_BITS, MOST_BITS, PROBES, SEGMENT = 128, 1 << 18, 1 << 29, 4, 1 << 16
 #: Verified overlaps have at least so many tokens, such a share of equal ones, and such a share of the item,
 #: or LONG_TOKENS tokens.
 MIN_TOKENS, SIMILARITY, ITEM_SHARE, LONG_TOKENS = 8, 0.75, 0.5, 20
 _PUNCTUATION = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
 _PLACES = odd_numbers(16, 21)
+_BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)
 #: Letters of scripts without spaces (Thai to Khmer, kana, Han), each a token; their punctuation and wide marks are spaces.
 _SINGLE = re.compile("([\u0e01-\u0e4e\u0e81-\u0edf\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 _MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
@@ -50,27 +51,28 @@ def runs(found: np.ndarray, n: int) -> np.ndarray:
     total = np.full(m, 100 + n, dtype=np.uint64)
     for k in range(n):
         total += found[k : k + m] * _PLACES[k]
-    return mixed(total)
+    return total
 
 
 def seeds(found: np.ndarray, light: bool) -> list[np.ndarray]:
     """The hashes of each mask, at every position where it fits."""
-    out = []
+    out, placed = [], found * _PLACES[:, None][: max(map(len, MASKS + LIGHT_MASKS))]
     for n, mask in enumerate((*MASKS, *(LIGHT_MASKS if light else ()))):
         m = len(found) - len(mask) + 1
         if m > 0:
             total = np.full(m, n + 1, dtype=np.uint64)
             for k, care in enumerate(mask):
                 if care == "1":
-                    total += found[k : k + m] * _PLACES[k]
-            out.append(mixed(total))
+                    total += placed[k, k : k + m]
+            out.append(total)
     return out
 
 
-def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Places in the filter; bits is a power of two."""
-    other = mixed(hashes) | np.uint64(1)
-    return [((hashes + np.uint64(k) * other) & np.uint64(bits - 1)).astype(np.int64) for k in range(PROBES)]
+def probe(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The hashes' k-th places in the filter; bits is a power of two. The first one is cheap, and most fail it."""
+    if k:
+        hashes = mixed(hashes) if k < 3 else mixed(mixed(hashes))
+    return ((hashes >> np.uint64(32 if k == 2 else 0)) & np.uint64(bits - 1)).view(np.int64)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +96,11 @@ def _hits(held: Callable[[], np.ndarray], short: list[int], light: bool):
 
         def passed(hashes: np.ndarray) -> np.ndarray:
             good = np.arange(len(hashes))
-            for k in range(PROBES):  # most fail the first probe
-                at = probes(hashes[good], bits)[k] if k else (hashes & np.uint64(bits - 1)).astype(np.int64)
-                good = good[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            for k in range(PROBES):
+                if not len(good):
+                    break
+                at = probe(hashes[good] if k else hashes, k, bits)
+                good = good[_BIT[at & 7] & filled[at >> 3] > 0]
             return good
 
         for batch in batches:
@@ -127,7 +131,8 @@ def _segments(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            places = np.unique(np.concatenate(probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            places = np.unique(np.concatenate([probe(hashes, k, bits) for k in range(PROBES)]))
             for segment in np.unique(places // SEGMENT).tolist():
                 mine = held.setdefault(segment, np.zeros(SEGMENT, bool))
                 mine[places[places // SEGMENT == segment] % SEGMENT] = True
