@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Shuffle files go when the query that made them is done; what a later query needs is a written table.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a row group of a written table: files can be read by several tasks, and writers stay small.
+ROW_GROUP = 4 << 20
 _written: dict[str, SparkSession] = {}
 _own_dir: list[str] = []
 
@@ -64,7 +66,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     bounded(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with _cleaned(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     if not _written:
         atexit.register(_remove)
     _written[path] = spark
