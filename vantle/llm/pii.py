@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vantle.llm.common import sized, text_key, written
 
@@ -226,12 +227,13 @@ def redacted(text: str, spans: list) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced; all rows and columns stay. Null texts stay null."""
+    """docs with personal data in text replaced; all rows and columns stay, whatever their names. Null texts stay null."""
     found = written(extracted(docs), "extracted")
     added = written(added_spans(found.where(F.size("instances") > 0)), "added")
-    keyed = docs.withColumn("__key", text_key())
-    joined = keyed.join(sized(added).withColumnsRenamed({"key": "__key", "added": "__added"}), "__key", "left").drop("__key")
-    place, text_at = joined.columns.index("__added"), joined.columns.index("text")
+    names = docs.columns
+    text_at, place = names.index("text"), len(names)
+    keyed = docs.toDF(*(f"c{i}" for i in range(place))).withColumn("key", text_key(f"c{text_at}"))
+    joined = keyed.join(sized(added), "key", "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,6 +243,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 spans = [{"start": s, "end": e, "kind": k} for s, e, k in base_spans(text or "")] + (more or [])
                 out.append(redacted(text, spans) if spans else text)
             columns = [pa.array(out, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i != place]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "__added"])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:place])
 
-    return joined.mapInArrow(run, docs.schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    return joined.mapInArrow(run, plain).toDF(*names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantle.llm.common import written
+from vantle.llm.common import sized, written
 
 #: Bytes after which a segment ends; one larger record makes a larger segment.
 SEGMENT = 1 << 20
@@ -77,17 +77,27 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Segments (content) of the pages' archives, in the shared folder.
 
-    Captures are named by page_id; pages without one, or whose id came before with the same payload, get a name of
-    their own from their row. A payload of least_bytes or more that another page with a larger id has is a revisit.
+    A capture is named by its page_id. Pages without one, and all pages of an id that occurs more than once, are named
+    by id and row, whatever their payloads. A payload of least_bytes or more that another page with a larger id has is
+    a revisit of one page of the largest id.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = source.withColumn("payload", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    small = written(keyed.select("page_id", "payload", (F.octet_length("html") >= least_bytes).alias("shared")), "payloads")
-    owners = small.where("shared").groupBy("payload").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("payload", "last")
-    out = keyed.join(written(owners, "owners"), "payload", "left")
-    name = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string")))
-    owner = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last").cast("string"))
-    return written(out.select(name.alias("capture"), "url", "html", owner.alias("owner")).mapInArrow(_write, "content binary"), "archive")
+    single = source.withColumn("name", F.col("page_id").cast("string"))
+    again = source.groupBy("page_id").count().where("count > 1 or page_id is null")
+    again = written(again.select("page_id", F.lit(True).alias("again")), "again")
+    if not again.isEmpty():
+        own = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit("."), F.monotonically_increasing_id().cast("string"))
+        repeated = source.where("page_id is null").unionByName(source.join(sized(again), "page_id", "left_semi"))
+        repeated = written(repeated.withColumn("name", own), "repeated")
+        single = single.where("page_id is not null").join(sized(again), "page_id", "left_anti").unionByName(repeated)
+    keyed = single.withColumn("payload", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    small = written(keyed.select("page_id", "name", "payload", (F.octet_length("html") >= least_bytes).alias("shared")), "payloads")
+    owners = small.where("shared and page_id is not null").groupBy("payload").agg(F.max(F.struct("page_id", "name")).alias("last"))
+    many = small.where("shared").groupBy("payload").count().where("count > 1").select("payload")
+    owners = written(owners.join(many, "payload").select("payload", "last.*").toDF("payload", "last", "owner"), "owners")
+    out = keyed.join(sized(owners), "payload", "left")
+    owner = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("owner"))
+    return written(out.select(F.col("name").alias("capture"), "url", "html", owner.alias("owner")).mapInArrow(_write, "content binary"), "archive")
 
 
 def members(content: bytes) -> Iterator[bytes]:
@@ -166,10 +176,11 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to and the nested capture, read back from its
     archives. A capture without its request or metadata record fails the read.
 
-    A null html counts as empty. Pages with a null id are captures of their own, with a null page_id. Rows that repeat
-    an id and its payload are all responses, or all revisits of a later page. An empty table gives an empty one.
+    A null html counts as empty. Pages with a null id are captures of their own, with a null page_id, and so are pages that
+    repeat an id, whatever their payloads. Rows that repeat an id and its payload are all responses, or all revisits of a
+    page with a larger id. An empty table gives an empty one.
     """
-    of = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d+):response>$", 1)
+    of = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d+)(?:\.\d+)?:response>$", 1)
     number = lambda c: F.when(of(c) != "", of(c).cast("long"))
     found = captures(records(archives(pages, least_bytes)))
     whole = F.col("request").isNotNull() & F.col("metadata").isNotNull() & (F.col("metadata.note") == F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string")))
