@@ -19,6 +19,11 @@ def _without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame
     return docs.join(sized(written(ids.distinct(), "gone")), name, "left_anti").select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): docs with all their columns in one, so that none meets a name of ours."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language. Null texts and texts without a letter go; all others stay, also where no labelled row
     is there to learn from."""
@@ -39,27 +44,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return _without(docs, found.where(~F.col("kept")).select("doc_id"))
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     # keys in the order of ids, then of texts; rows without an id come last
-    rows = named.union(docs.where("doc_id is null")).orderBy(F.asc_nulls_last("doc_id"), text_key()).withColumn("__row", F.monotonically_increasing_id())
-    rows = written(rows, "rows")
-    found = written(neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "groups")
-    return _without(rows, found.where(~F.col("kept")).select(F.col("doc_id").alias("__row")), "__row").select(docs.columns)
+    rows = written(_numbered(named.union(docs.where("doc_id is null")).orderBy(F.asc_nulls_last("doc_id"), text_key())), "rows")
+    found = written(neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))), "groups")
+    return _without(rows, found.where(~F.col("kept")).select(F.col("doc_id").alias("row")), "row").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark. Rows are judged one by one, also where ids are null or repeat;
+    null and empty texts stay. An empty table gives an empty one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark)
-    return _without(rows, found.select(F.col("doc_id").alias("__row")), "__row").select(docs.columns)
+    rows = written(_numbered(docs), "rows")
+    found = decontam.contaminated(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark)
+    return _without(rows, found.select(F.col("doc_id").alias("row")), "row").select("doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the kind in brackets in the place of each piece of personal data."""
+    """All documents, with the kind in brackets in the place of each piece of personal data. Null texts stay null, rows and
+    columns stay as they are; an empty table gives an empty one."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in training sequences."""
+    """The documents' pieces in training sequences. A null text is packed as an empty one, and repeated rows each; an empty
+    table gives an empty one."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
