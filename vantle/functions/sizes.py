@@ -14,22 +14,15 @@ READABLE = ("B", "KiB", "MiB", "GiB", "TiB")
 NPY_HEADER = 128
 #: Bytes of a component of a vector file.
 ITEM_BYTES = {"float32": 4, "float16": 2, "int8": 1, "binary": 1, "bool": 1, "float64": 8}
-_DIGITS = "0123456789"
+#: Fixed value: a size is a number and, in any case, a unit.
+BUDGET = r"^\s*([0-9]*\.?[0-9]+)\s*([a-zA-Z]*)\s*$"
 
 
 def _budget(text: Column) -> tuple[Column, Column, Column]:
-    """Number, unit and bytes; a number is digits with or without a fraction, or a fraction alone."""
-    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    number = F.substring_index(F.regexp_replace(plain, r"[ a-z].*$", ""), " ", 1)
-    unit = F.trim(F.substring(plain, F.length(number) + 1, F.length(plain)))
-    whole, fraction = F.substring_index(number, ".", 1), F.regexp_replace(number, r"^[^.]*", "")
-    digits = lambda c: F.translate(c, _DIGITS, "") == ""
-    is_number = digits(whole) & F.when(fraction == "", whole != "").otherwise((F.length(fraction) > 1) & digits(F.substring(fraction, 2, 400)))
-    size = F.lit(None).cast("double")
-    for name, n in UNITS.items():
-        size = F.when(unit == name, float(n)).otherwise(size)
-    total = F.floor(F.when(is_number, number.try_cast("double")) * size).cast("long")
-    return is_number, size, total
+    """Whether text is a size, bytes of its unit, and bytes in all; the unit is null where it is unknown."""
+    factors = F.create_map(*(F.lit(x) for name, n in UNITS.items() for x in (name, float(n))))
+    unit = F.try_element_at(factors, F.lower(F.regexp_extract(text, BUDGET, 2)))
+    return text.rlike(BUDGET), unit, F.floor(F.regexp_extract(text, BUDGET, 1).try_cast("double") * unit).cast("long")
 
 
 def parse_budget(text: Column) -> Column:

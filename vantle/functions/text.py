@@ -24,6 +24,11 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(html.unescape(t)).strip())
 
 
+def basic_clean(text: Column) -> Column:
+    """A caption as the pre-tokenizer takes it: entities decoded twice, white space collapsed and trimmed, lower case."""
+    return clean(unescape(text))
+
+
 def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(clean(text), F.lit(PRETOKEN), F.lit(0))
 

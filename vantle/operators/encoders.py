@@ -81,14 +81,21 @@ def available() -> dict[str, list[str]]:
     return {"encoders": sorted(_encoders), "poolings": sorted(_poolings), "decoders": sorted(_decoders)}
 
 
+#: Precisions that a kind of device computes in; the first is its own choice.
+PRECISIONS = {"cpu": ("float32",), "cuda": ("float16", "float32")}
+
+
 def device_of(config: EncoderConfig, accelerated: bool = False) -> tuple[str, str]:
-    """Device and precision: an accelerator only where there is one, half precision only on it."""
-    device = ("cuda" if accelerated else "cpu") if config.device == "auto" else config.device
-    if device.startswith("cuda") and not accelerated:
-        raise RuntimeError("there is no accelerator")
-    precision = ("float16" if device.startswith("cuda") else "float32") if config.precision == "auto" else config.precision
-    if precision == "float16" and not device.startswith("cuda"):
-        raise ValueError("half precision needs an accelerator")
+    """Device and precision, as PRECISIONS allows; accelerated tells whether this machine has an accelerator."""
+    here = ["cuda", "cpu"] if accelerated else ["cpu"]
+    device = here[0] if config.device == "auto" else config.device
+    kind = device.split(":")[0]
+    if kind in PRECISIONS and kind not in here:
+        raise RuntimeError(f"{device} isn't here; there is {here}")
+    allowed = PRECISIONS.get(kind, PRECISIONS["cpu"])
+    precision = allowed[0] if config.precision == "auto" else config.precision
+    if precision not in allowed:
+        raise ValueError(f"{device} computes in {allowed}, not in {precision}")
     return device, precision
 
 

@@ -189,7 +189,7 @@ def q17_mean_pool(spark, sf_dir):
 def q18_masked_mean(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
     out = pooling.masked_mean(rows, "label", F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0))
-    return out.select("label", F.col("at").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return long_form(out, "vector", ["label"], "value", "double").withColumn("value", F.round("value", 6))
 
 
 @query("""WITH m AS (SELECT label AS l, min(vec_id) AS first FROM embeddings GROUP BY label),
@@ -198,7 +198,7 @@ def q18_masked_mean(spark, sf_dir):
 def q18b_masked_text_mean(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
     out = pooling.masked_text_mean(rows, "label", "vec_id", F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0))
-    return out.select("label", F.col("at").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return long_form(out, "vector", ["label"], "value", "double").withColumn("value", F.round("value", 6))
 
 
 @query("""WITH f AS (SELECT label, CASE WHEN vec_id % 3 = 2 AND vec_id % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS m, (UNNEST(range(64)))::BIGINT AS pos, UNNEST(embedding)::DOUBLE AS x FROM embeddings)
@@ -207,7 +207,7 @@ def q19_late_fusion(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
     mask = F.when((F.col("vec_id") % 3 == 2) & (F.col("vec_id") % 2 == 0), 0.0).otherwise(1.0)
     parts = [rows.where(F.col("vec_id") % 3 == m).select("label", "embedding", mask.alias("mask")) for m in range(3)]
-    return pooling.fused(parts, "label").select("label", F.col("at").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return long_form(pooling.fused(parts, "label"), "vector", ["label"], "value", "double").withColumn("value", F.round("value", 6))
 
 
 def _text_and_video(spark, sf_dir):
