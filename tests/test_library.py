@@ -198,7 +198,7 @@ def test_build_and_resume(spark, tmp_path):
     assert (report["requested_count"], report["completed_count"], report["failed_this_run"], report["missing_from_csv"], report["frames_this_run"]) == (3, 2, 1, 1, 4)
     rows = {r["video_id"]: r for r in store.vectors().collect()}
     assert [(r["video_id"], r["caption"]) for r in sorted(rows.values())] == [("video1", "one"), ("video2", "two"), ("video0", "zero")]
-    assert store.manifest()["status"] == "partial" and not rows["video1"]["completed"] and spark.read.json(f"{target}/failures").first()["error"] == "broken"
+    assert store.manifest()["status"] == "partial" and not rows["video1"]["completed"] and store.failures().first()["error"] == "broken"
     with pytest.raises(ValueError, match="aren't done"):
         store.evaluate(store.listing().select("row_index", F.array(F.lit(1.0)).alias("embedding")))
     with pytest.raises(FileExistsError):

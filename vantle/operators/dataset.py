@@ -28,6 +28,25 @@ def claimed_once(rows: DataFrame, file: str, order: str) -> DataFrame:
     return first_wins(rows, file, order)
 
 
+def range_number(value: Column, bounds: list[str], kind: str) -> Column:
+    """How many of the ascending bounds (JSON of that type) are at most value, by binary search over one constant array: as
+    many comparisons a row as their number has binary digits, and an expression of the same size for any number."""
+    if not bounds:
+        return F.lit(0)
+    known = F.from_json(F.lit(f"[{','.join(bounds)}]"), f"array<{kind}>")
+
+    def halved(range_: Column, _: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        middle = F.shiftright(low + high, 1)
+        above = F.get(known, middle) <= value
+        found = F.struct(F.when(above, middle + 1).otherwise(low).alias("low"), F.when(above, high).otherwise(middle).alias("high"))
+        return F.when(low < high, found).otherwise(range_)
+
+    steps = F.array_repeat(F.lit(0), len(bounds).bit_length())
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(steps, whole, halved, lambda r: r["low"])
+
+
 def _running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """rows with the running total of value by order, this row included, without a window over all rows in one task.
 
@@ -35,13 +54,10 @@ def _running(rows: DataFrame, order: list[str], value: Column, name: str) -> Dat
     the rows put a row into the same range, since its range follows from the bounds alone.
     """
     share = 20_000 / max(1, rows.count())
-    sample = rows.select(*order).where(F.rand(17) < share).orderBy(*order).collect()  # about 20,000 rows at any size
-    n = max(1, min(len(sample) // 50, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     place = F.struct(*order)
-    part = F.lit(0)
-    for k in range(1, n):
-        bound = sample[k * len(sample) // n]
-        part = part + (place >= F.struct(*(F.lit(bound[c]).cast(rows.schema[c].dataType).alias(c) for c in order))).cast("int")
+    sample = rows.select(*order, F.to_json(place).alias("__place")).where(F.rand(17) < share).orderBy(*order).select("__place").collect()  # about 20,000 rows at any size
+    n = max(1, min(len(sample) // 50, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    part = range_number(place, [sample[k * len(sample) // n][0] for k in range(1, n)], rows.select(place.alias("p")).schema["p"].dataType.simpleString())
     ranged = rows.withColumn("__part", part).withColumn("__value", value)
     totals = ranged.groupBy("__part").agg(F.sum("__value").alias("__total"))
     # one row a range

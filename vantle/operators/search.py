@@ -1,8 +1,13 @@
-"""Nearest items: single queries natively, query sets in blocks through one matrix kernel."""
+"""Nearest items: single queries natively, query sets through matrix kernels with bounds.
+
+A query set of a measured size goes to every executor once, as one matrix; a larger one is dealt in blocks by an equi-join.
+Items are grouped into cells around pivots. A cell's center and radius bound its scores for every query, and pairs of a
+query and a cell that can't change the query's result are skipped without their products.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -59,10 +64,10 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(_blocks, "ids binary, vectors binary")
 
 
-def vector_bytes(vectors: DataFrame) -> int:
-    """Bytes of (id, vector) as doubles, measured."""
+def vector_bytes(vectors: DataFrame, more: int = 0) -> int:
+    """Bytes of (id, vector) as doubles, measured, with so many more values a row."""
     n, width = vectors.agg(F.count("*"), F.max(F.size(vectors.columns[1]))).first()
-    return n * 8 * ((width or 0) + 1)
+    return n * 8 * ((width or 0) + 1 + more)
 
 
 def block_pairs(queries: DataFrame, items: DataFrame, query_bytes: int | None = None) -> DataFrame:
@@ -100,41 +105,175 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False, exclude_self: bool = False, query_bytes: int | None = None) -> DataFrame:
+#: Pivots of a batch of items, at most, and the least items a cell is worth.
+PIVOTS, LEAST_CELL = 16, 64
+#: What rounding may add to a score or a bound.
+SLACK = 1e-8
+
+
+def _cells(ids: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Items by their nearest pivot, BLOCK at most together; pivots are rows at even distances."""
+    n = min(PIVOTS, len(ids) // LEAST_CELL)
+    if n < 2:
+        parts = [np.arange(len(ids))]
+    else:
+        pivots = items[np.linspace(0, len(ids) - 1, n).astype(int)]
+        nearest = np.argmin((pivots**2).sum(axis=1) - 2 * items @ pivots.T, axis=1)
+        parts = [np.flatnonzero(nearest == p) for p in range(n)]
+    for part in parts:
+        for at in range(0, len(part), BLOCK):
+            own = part[at : at + BLOCK]
+            yield ids[own], items[own]
+
+
+def _reach(queries: np.ndarray, norms: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest score that each query may have with any of the items."""
+    center = items.mean(axis=0)
+    middle, radius = queries @ center, norms * np.sqrt(((items - center) ** 2).sum(axis=1).max())
+    return middle - radius - SLACK, middle + radius + SLACK
+
+
+def _signs(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, 1.0, -1.0)
+
+
+class _Kernel:
+    """Queries that meet cells of items; counts the pairs that bounds spared."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray):
+        self.ids, self.queries = ids, queries
+        self.norms = np.sqrt((queries**2).sum(axis=1))
+        self.met = self.skipped = 0
+
+    def meet(self, ids: np.ndarray, items: np.ndarray) -> None:
+        low, high = _reach(self.queries, self.norms, items)
+        live = np.flatnonzero(self.settle(low, high, len(ids)))
+        self.met += len(self.ids) * len(ids)
+        self.skipped += (len(self.ids) - len(live)) * len(ids)
+        for at in range(0, len(live), BLOCK):
+            own = live[at : at + BLOCK]
+            self.take(own, ids, items)
+
+
+class _Nearest(_Kernel):
+    """The k best items of each query."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, signs: bool, exclude_self: bool):
+        super().__init__(ids, _signs(queries) if signs else queries)
+        self.k, self.signs, self.exclude_self = k, signs, exclude_self
+        self.best = np.full((len(ids), k), -np.inf)
+        self.held = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def prepared(self, items: np.ndarray) -> np.ndarray:
+        return _signs(items) if self.signs else items
+
+    def settle(self, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+        if self.signs:
+            high = (high + self.queries.shape[1]) / 2
+        return high >= self.best[:, -1]
+
+    def take(self, own: np.ndarray, ids: np.ndarray, items: np.ndarray) -> None:
+        scores = self.queries[own] @ items.T
+        scores = (scores + items.shape[1]) / 2 if self.signs else np.round(scores, 9)
+        if self.exclude_self:
+            scores[self.ids[own][:, None] == ids[None, :]] = -np.inf
+        best, names = _best(scores, np.broadcast_to(ids, scores.shape), self.k)
+        self.best[own], self.held[own] = _best(np.hstack([self.best[own], best]), np.hstack([self.held[own], names]), self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        keep = np.isfinite(self.best).ravel()
+        out = [np.repeat(self.ids, self.k)[keep], self.held.ravel()[keep], self.best.ravel()[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "item_id", "score"])
+
+
+class _Places(_Kernel):
+    """How many items score above each query's true item, like it, and like it with a smaller id. Rows of queries hold
+    the true item's id, its vector and the query."""
+
+    def __init__(self, ids: np.ndarray, wide: np.ndarray, signs: bool):
+        d = (wide.shape[1] - 1) // 2
+        self.own, true, queries = wide[:, 0].astype(np.int64), wide[:, 1 : 1 + d], wide[:, 1 + d :]
+        self.signs = signs
+        super().__init__(ids, self.prepared(queries))
+        self.truth = np.round((self.queries * self.prepared(true)).sum(axis=1), 9)
+        self.greater, self.equal, self.before = (np.zeros(len(ids), np.int64) for _ in range(3))
+
+    prepared = _Nearest.prepared
+
+    def settle(self, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+        above = low > self.truth
+        self.greater[above] += n
+        return ~above & (high >= self.truth)
+
+    def take(self, own: np.ndarray, ids: np.ndarray, items: np.ndarray) -> None:
+        scores, mine = np.round(self.queries[own] @ items.T, 9), self.truth[own][:, None]
+        same = scores == mine
+        self.greater[own] += (scores > mine).sum(axis=1)
+        self.equal[own] += same.sum(axis=1)
+        self.before[own] += (same & (ids[None, :] < self.own[own][:, None])).sum(axis=1)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (self.ids, self.greater, self.equal, self.before)], names=["query_id", "greater", "equal", "before"])
+
+
+def _through(kernel: Callable[..., _Kernel], queries: DataFrame, items: DataFrame, schema: str, size: int, cells: int, counter: dict | None) -> DataFrame:
+    """A kernel's rows for all queries over all items, a task's results together. size: bytes of queries and results;
+    cells: values of results that a task holds for a query. counter gets accumulators met and skipped."""
+    spark = queries.sparkSession
+    counts = None
+    if counter is not None:
+        counts = counter["met"], counter["skipped"] = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(found: _Kernel) -> pa.RecordBatch:
+        if counts:
+            counts[0].add(found.met)
+            counts[1].add(found.skipped)
+        return found.rows()
+
+    if size <= BROADCAST_BYTES:
+        rows = queries.toArrow().combine_chunks()
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
+        matrix = _matrix(columns[1]) if len(rows) else np.zeros((0, 1))
+        sent = spark.sparkContext.broadcast((columns[0].to_numpy(zero_copy_only=False).astype(np.int64), matrix))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = kernel(*sent.value)
+            for batch in batches:
+                if batch.num_rows and len(found.ids):
+                    vectors = found.prepared(_matrix(batch.column(1)))
+                    for ids, part in _cells(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), vectors):
+                        found.meet(ids, part)
+            yield counted(found)
+
+        return items.mapInArrow(whole, schema)
+
+    def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Kernel] = {}
+        for batch in batches:
+            for block, ids, vectors, q_ids, q_vectors in _matrices(batch):
+                found = held.get(block) or held.setdefault(block, kernel(q_ids, q_vectors))
+                for part in _cells(ids, found.prepared(vectors)):
+                    found.meet(*part)
+                if sum(len(x.ids) for x in held.values()) * cells > HELD:
+                    yield from map(counted, held.values())
+                    held = {}
+        yield from map(counted, held.values())
+
+    return block_pairs(queries, items, size).mapInArrow(blockwise, schema)
+
+
+def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False, exclude_self: bool = False, query_bytes: int | None = None, counter: dict | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items of every query; inputs are (id, vector).
 
     signs scores the components' signs: the number of equal ones. A task keeps the k best of each query over all its
-    blocks, up to HELD rows, so the last ranking sees k rows for each query and task.
+    items, so the last ranking sees k rows for each query and task. counter, a dict, gets accumulators of the pairs met
+    and of those skipped by bounds.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-
-    def out_of(held: dict) -> Iterator[pa.RecordBatch]:
-        for q_ids, scores, ids in held.values():
-            keep = np.isfinite(scores).ravel()
-            out = [np.repeat(q_ids, scores.shape[1])[keep], ids.ravel()[keep], scores.ravel()[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "item_id", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-        for batch in batches:
-            for block, ids, items_, q_ids, queries_ in _matrices(batch):
-                if signs:
-                    items_, queries_ = np.where(items_ > 0, 1.0, -1.0), np.where(queries_ > 0, 1.0, -1.0)
-                scores = queries_ @ items_.T
-                scores = (scores + items_.shape[1]) / 2 if signs else np.round(scores, 9)
-                if exclude_self:
-                    scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                best, own = _best(scores, np.broadcast_to(ids, scores.shape), k)
-                if block in held:
-                    best, own = _best(np.hstack([held[block][1], best]), np.hstack([held[block][2], own]), k)
-                held[block] = (q_ids, best, own)
-                if sum(x[1].size for x in held.values()) > HELD:
-                    yield from out_of(held)
-                    held = {}
-        yield from out_of(held)
-
-    found = block_pairs(queries, items, query_bytes).mapInArrow(run, "query_id long, item_id long, score double")
+    size = vector_bytes(queries, 2 * k) if query_bytes is None else query_bytes
+    kernel = lambda ids, matrix: _Nearest(ids, matrix, k, signs, exclude_self)
+    found = _through(kernel, queries, items, "query_id long, item_id long, score double", size, k, counter)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -142,7 +281,7 @@ def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False
 def agreements(kinds: dict[str, DataFrame], base: str, k: int) -> DataFrame:
     """(packing, overlap, agreement): what share of the base's k neighbours each kind's neighbours hold, mean over the
     rows; kinds are (id, vector). Every kind's neighbours are found once and meet in one aggregation."""
-    size = vector_bytes(kinds[base])
+    size = vector_bytes(kinds[base], 2 * k)
     near = [batch_topk(v, v, k, exclude_self=True, query_bytes=size).select("query_id", "item_id", F.lit(name).alias("packing")) for name, v in kinds.items()]
     held = reduce(DataFrame.union, near).groupBy("query_id", "item_id").agg(F.collect_set("packing").alias("kinds"))
     each = held.where(F.array_contains("kinds", base)).select(F.explode("kinds").alias("packing"))
@@ -167,26 +306,14 @@ def rerank(queries: DataFrame, items: DataFrame, candidates: int, k: int) -> Dat
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def truth_places(queries: DataFrame, items: DataFrame, truth: DataFrame, signs: bool = False) -> DataFrame:
+def truth_places(queries: DataFrame, items: DataFrame, truth: DataFrame, signs: bool = False, counter: dict | None = None) -> DataFrame:
     """(query_id, greater, equal, before) of each query's true item in truth (query_id, item_id): how many items score
     higher, equal (itself included), and equal with a smaller id. Only counts leave the blocks."""
     paired = truth.join(queries.toDF("query_id", "q"), "query_id").join(items.toDF("item_id", "v"), "item_id")
     asked = paired.select(F.col("query_id"), F.concat(F.array(F.col("item_id").cast("double")), F.transform("v", lambda x: x.cast("double")), F.transform("q", lambda x: x.cast("double"))).alias("vector"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, ids, items_, q_ids, wide in _matrices(batch):
-                d = items_.shape[1]
-                own, true, query = wide[:, 0].astype(np.int64), wide[:, 1 : 1 + d], wide[:, 1 + d :]
-                if signs:
-                    items_, true, query = (np.where(x > 0, 1.0, -1.0) for x in (items_, true, query))
-                scores = np.round(query @ items_.T, 9)
-                mine = np.round((query * true).sum(axis=1), 9)[:, None]
-                same = scores == mine
-                out = [q_ids, (scores > mine).sum(axis=1), same.sum(axis=1), (same & (ids[None, :] < own[:, None])).sum(axis=1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "greater", "equal", "before"])
-
-    counts = block_pairs(asked, items).mapInArrow(run, "query_id long, greater long, equal long, before long")
+    kernel = lambda ids, wide: _Places(ids, wide, signs)
+    counts = _through(kernel, asked, items, "query_id long, greater long, equal long, before long", vector_bytes(asked), 3, counter)
     return counts.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("greater", "equal", "before")))
 
 
