@@ -6,20 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def spread(items: Column, most: Column) -> Column:
-    """At most so many items, evenly spaced, the first and last among them; one is the first."""
-    n = F.size(items)
+def spread_places(n: Column, most: Column) -> Column:
+    """Of n places, at most so many, evenly spaced, the first and last among them; one is the first."""
     step = (n - 1) / F.greatest(most - 1, F.lit(1))
-    place = lambda i: F.when((i == most - 1) & (most > 1), n - 1).otherwise(F.floor(i * step).cast("int"))
-    return F.when(n <= most, items).otherwise(F.transform(F.sequence(F.lit(0), most - 1), lambda i: F.get(items, place(i))))
+    place = lambda i: F.when(n <= most, i).when((i == most - 1) & (most > 1), n - 1).otherwise(F.floor(i * step).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.least(n, most) - 1), place)
 
 
 def sampled_frames(count: Column, fps: Column, rate: Column, most: Column) -> Column:
-    """Indices of frames at a fixed rate: every max(fps / rate, 1)-th, floored, distinct, then spread to most."""
+    """Indices of frames at a fixed rate: every max(fps / rate, 1)-th, floored, then spread to most. A step is 1 at least, so
+    no index comes twice."""
     step = F.greatest(fps.cast("double") / rate, F.lit(1.0))
-    n = F.ceil(count / step).cast("int")
-    every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(F.floor(i * step).cast("long"), count - 1))
-    return F.when(count <= 0, F.array().cast("array<bigint>")).otherwise(spread(F.array_distinct(every), most.cast("int")))
+    places = spread_places(F.ceil(count / step).cast("int"), most.cast("int"))
+    picked = F.transform(places, lambda i: F.least(F.floor(i * step).cast("long"), count - 1))
+    return F.when(count <= 0, F.array().cast("array<bigint>")).otherwise(picked)
 
 
 def per_second_frames(count: Column, fps: Column, rate: Column, start: Column, end: Column) -> Column:

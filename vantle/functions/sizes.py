@@ -67,12 +67,12 @@ def capacity(budget: Column, vector_bytes: Column, metadata: Column) -> Column:
 
 
 def capacity_report(packings: DataFrame, budget: Column, metadata: Column, dimension: int = 512) -> DataFrame:
-    """Of each packing (column packing): bytes an item, items that the budget holds, bytes of 1000 and 2000 items, and
+    """Of each packing (column packing, others stay): bytes an item, items that the budget holds, bytes of 1000 and 2000 items, and
     what share of the budget, in percent, 2000 items take."""
     each = bytes_per_vector(F.lit(dimension), F.col("packing")) + metadata
     for_n = lambda n: F.bround(each * n).cast("long").alias(f"bytes_for_{n}")
     known = F.when(budget >= 1, budget).otherwise(F.raise_error(F.lit("the budget must be at least one byte")).cast("long"))
     most = F.floor(known / each).cast("long")
     return packings.select(
-        "packing", each.cast("double").alias("bytes_per_item"), most.alias("max_items"), F.format_number(most, 0).alias("max_items_human"), for_n(1000), for_n(2000), (each * 2000 / budget * 100).cast("double").alias("percent_of_budget_at_2000")
+        "*", each.cast("double").alias("bytes_per_item"), most.alias("max_items"), F.format_number(most, 0).alias("max_items_human"), for_n(1000), for_n(2000), (each * 2000 / budget * 100).cast("double").alias("percent_of_budget_at_2000")
     )

@@ -11,29 +11,28 @@ from vantle.operators import dataset, lifecycle
 from vantle.plans.catalog import long_form, query, table
 
 
-def _values(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 # capacity and sizes
 
-_BUDGETS = ["2GB", "2GiB", "512mib", "4096", "", "2 parsecs", "0", "1.5 kb"]
+#: What stands behind a document's length in q33: units in any case, unknown ones, fractions, spaces, no size at all.
+_UNITS = [" GB", "GiB", "mib", "", " parsecs", " kb", ".5 KB", "e3 b", " TiB ", ". B", " - ", " b", "000 KiB"]
 
 
-@query("""SELECT packing, budget, budget // (bytes + 127)::BIGINT AS max_items, (bytes + 127)::DOUBLE AS bytes_per_item, 1000 * (bytes + 127) AS bytes_for_1000, 2000 * (bytes + 127) AS bytes_for_2000,
- round(2000 * (bytes + 127) * 100.0::DOUBLE / budget, 6) AS percent_of_budget_at_2000 FROM
- (VALUES ('float32', 2048::BIGINT), ('float16', 1024), ('int8', 516), ('binary', 64)) p(packing, bytes), (VALUES (2147483648::BIGINT), (1000000000)) b(budget)""")
+@query("""SELECT source, packing, budget, budget // (bytes + 127)::BIGINT AS max_items, (bytes + 127)::DOUBLE AS bytes_per_item, 1000 * (bytes + 127) AS bytes_for_1000, 2000 * (bytes + 127) AS bytes_for_2000,
+ round((2000 * (bytes + 127))::DOUBLE / budget * 100, 6) AS percent_of_budget_at_2000 FROM (SELECT source, (sum(strlen(text)) * 1000)::BIGINT AS budget FROM documents GROUP BY source),
+ (VALUES ('float32', 2048::BIGINT), ('float16', 1024), ('int8', 516), ('binary', 64)) p(packing, bytes) WHERE budget >= 1""")
 def q30_capacity(spark, sf_dir):
-    rows = _values(spark, [(p,) for p in PACKINGS], "packing string")
-    reports = [sizes.capacity_report(rows, F.lit(b).cast("long"), F.lit(127)).withColumn("budget", F.lit(b).cast("long")) for b in (2147483648, 1000000000)]
-    return reports[0].unionByName(reports[1]).drop("max_items_human").withColumn("percent_of_budget_at_2000", F.round("percent_of_budget_at_2000", 6))
+    budgets = table(spark, sf_dir, "documents").groupBy("source").agg((F.sum(F.octet_length("text")) * 1000).alias("budget")).where("budget >= 1")
+    rows = budgets.withColumn("packing", F.explode(F.array(*map(F.lit, PACKINGS))))
+    report = sizes.capacity_report(rows, F.col("budget"), F.lit(127)).drop("max_items_human")
+    return report.withColumn("percent_of_budget_at_2000", F.round("percent_of_budget_at_2000", 6))
 
 
-@query("SELECT n, n * 512 * 4 + 128 AS vectors_bytes, n + 128 AS mask_bytes, n * 512 * 4 + 128 + n + 128 AS total_bytes FROM (SELECT UNNEST([1000, 2000, 100000])::BIGINT AS n)")
+@query("SELECT source, n, n * 512 * 4 + 128 AS vectors_bytes, n + 128 AS mask_bytes, n * 512 * 4 + 128 + n + 128 AS total_bytes FROM (SELECT source, count(*)::BIGINT AS n FROM documents GROUP BY source)")
 def q31_npy_size(spark, sf_dir):
     n = F.col("n")
     vectors, mask = sizes.npy_bytes(n, F.lit(512), 4), sizes.npy_bytes(n, F.lit(1), 1)
-    return _values(spark, [(1000,), (2000,), (100000,)], "n long").select("n", vectors.alias("vectors_bytes"), mask.alias("mask_bytes"), (vectors + mask).alias("total_bytes"))
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return rows.select("source", "n", vectors.alias("vectors_bytes"), mask.alias("mask_bytes"), (vectors + mask).alias("total_bytes"))
 
 
 @query("SELECT source, sum(strlen(text))::BIGINT AS bytes, count(*)::BIGINT AS items, sum(strlen(text)) / count(*)::DOUBLE AS bytes_per_item FROM documents GROUP BY source")
@@ -42,20 +41,22 @@ def q32_metadata_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(size.alias("bytes"), F.count("*").alias("items"), (size / F.count("*")).alias("bytes_per_item"))
 
 
-@query("""WITH p AS (SELECT t, lower(trim(t)) AS l FROM (SELECT UNNEST(['2GB', '2GiB', '512mib', '4096', '', '2 parsecs', '0', '1.5 kb']) AS t)),
- u AS (SELECT t, TRY_CAST(regexp_extract(l, '^([0-9]*\\.?[0-9]+)\\s*([a-z]*)$', 1) AS DOUBLE) AS a, regexp_extract(l, '^([0-9]*\\.?[0-9]+)\\s*([a-z]*)$', 2) AS s FROM p),
- b AS (SELECT t, floor(a * CASE s WHEN '' THEN 1 WHEN 'b' THEN 1 WHEN 'kb' THEN 1e3 WHEN 'mb' THEN 1e6 WHEN 'gb' THEN 1e9 WHEN 'tb' THEN 1e12 WHEN 'kib' THEN 1024.0 WHEN 'mib' THEN 1048576.0 WHEN 'gib' THEN 1073741824.0 WHEN 'tib' THEN 1099511627776.0 END)::BIGINT AS v FROM u)
- SELECT t AS budget, CASE WHEN v >= 1 THEN v END AS bytes FROM b""")
+@query(f"""WITH p AS (SELECT doc_id, n_chars || [{', '.join(f"'{u}'" for u in _UNITS)}][doc_id % {len(_UNITS)} + 1] AS t FROM documents),
+ u AS (SELECT doc_id, t, TRY_CAST(regexp_extract(t, '{sizes.BUDGET}', 1) AS DOUBLE) AS a, lower(regexp_extract(t, '{sizes.BUDGET}', 2)) AS s FROM p),
+ b AS (SELECT doc_id, t, floor(a * CASE s {' '.join(f"WHEN '{u}' THEN {n}::DOUBLE" for u, n in sizes.UNITS.items())} END)::BIGINT AS v FROM u)
+ SELECT doc_id, t AS budget, CASE WHEN v >= 1 THEN v END AS bytes FROM b""")
 def q33_parse_budget(spark, sf_dir):
-    return _values(spark, [(b,) for b in _BUDGETS], "budget string").select("budget", sizes.parse_budget(F.col("budget")).alias("bytes"))
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("doc_id") % len(_UNITS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("n_chars").cast("string"), unit).alias("budget"))
+    return rows.select("doc_id", "budget", sizes.parse_budget(F.col("budget")).alias("bytes"))
 
 
-@query("""SELECT n, CASE WHEN n < 1024 THEN printf('%.2f', n::DOUBLE) || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024.0::DOUBLE) || ' KiB' WHEN n < 1073741824 THEN printf('%.2f', n / 1048576.0::DOUBLE) || ' MiB'
+@query("""SELECT doc_id, n, CASE WHEN n < 1024 THEN printf('%.2f', n::DOUBLE) || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024.0::DOUBLE) || ' KiB' WHEN n < 1073741824 THEN printf('%.2f', n / 1048576.0::DOUBLE) || ' MiB'
  WHEN n < 1099511627776 THEN printf('%.2f', n / 1073741824.0::DOUBLE) || ' GiB' ELSE printf('%.2f', n / 1099511627776.0::DOUBLE) || ' TiB' END AS readable
- FROM (SELECT UNNEST([0, 1023, 1024, 64128, 2175559, 5368709120, 3298534883328])::BIGINT AS n)""")
+ FROM (SELECT doc_id, n_chars * (1::BIGINT << (10 * (doc_id % 5))) AS n FROM documents)""")
 def q34_readable_bytes(spark, sf_dir):
-    rows = [(n,) for n in (0, 1023, 1024, 64128, 2175559, 5368709120, 3298534883328)]
-    return _values(spark, rows, "n long").select("n", sizes.readable(F.col("n")).alias("readable"))
+    n = F.col("n_chars") * F.expr("shiftleft(1L, cast(10 * (doc_id % 5) AS int))")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), sizes.readable(n).alias("readable"))
 
 
 # splits and captions
@@ -162,25 +163,32 @@ def q54_cache_name(spark, sf_dir):
 
 # frames and clips
 
-_CLIPS = "(VALUES (1, 300, 30.0, 1.0, 5), (2, 7, 5.0, 10.0, 4), (3, 0, 30.0, 1.0, 5), (4, 100, 29.97, 2.0, 12), (5, 10, 25.0, 1.0, 3), (6, 90, 30.0, 1.0, 1)) c(clip, n, fps, rate, most)"
-_CLIP_ROWS = [(1, 300, 30.0, 1.0, 5), (2, 7, 5.0, 10.0, 4), (3, 0, 30.0, 1.0, 5), (4, 100, 29.97, 2.0, 12), (5, 10, 25.0, 1.0, 3), (6, 90, 30.0, 1.0, 1)]
+#: Clips are made of documents: as many frames as characters, rates and bounds by the id.
+_CLIPS = """(SELECT doc_id AS clip, n_chars AS n, [30.0, 29.97, 25.0, 5.0][doc_id % 4 + 1]::DOUBLE AS fps, [1.0, 2.0, 10.0][doc_id % 3 + 1]::DOUBLE AS rate, [5, 12, 1, 4, 300][doc_id % 5 + 1]::INT AS most FROM documents)"""
+
+
+def _by_id(values):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
 
 
-@query(f"""WITH c AS (SELECT clip::BIGINT AS clip, n::BIGINT AS n, greatest(fps::DOUBLE / rate::DOUBLE, 1.0) AS step, most FROM {_CLIPS}),
+@query(f"""WITH c AS (SELECT clip, n, greatest(fps::DOUBLE / rate::DOUBLE, 1.0) AS step, most FROM {_CLIPS} c),
  l AS (SELECT clip, most, list_distinct(list_transform(range(0, ceil(n / step)::BIGINT), lambda i: least(floor(i * step)::BIGINT, n - 1))) AS f FROM c WHERE n > 0),
  o AS (SELECT clip, most, list_sort(f) AS f, len(f) AS k FROM l)
  SELECT clip, (UNNEST(range(least(k, most))))::BIGINT AS pos, UNNEST(CASE WHEN k <= most THEN f ELSE list_transform(range(0, most), lambda i: f[CASE WHEN i = most - 1 AND most > 1 THEN k ELSE floor(i * ((k - 1) / greatest(most - 1, 1)::DOUBLE))::BIGINT + 1 END]) END) AS frame FROM o""")
 def q60_sampled_frames(spark, sf_dir):
-    c = _values(spark, _CLIP_ROWS, "clip long, n long, fps double, rate double, most int")
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip"), F.col("n_chars").alias("n"), _by_id([30.0, 29.97, 25.0, 5.0]).alias("fps"), _by_id([1.0, 2.0, 10.0]).alias("rate"), _by_id([5, 12, 1, 4, 300]).alias("most"))
     picked = c.select("clip", frames.sampled_frames(F.col("n"), F.col("fps"), F.col("rate"), F.col("most")).alias("f"))
     return long_form(picked, "f", ["clip"], "frame", "long")
 
 
-@query("""SELECT clip, frame FROM (SELECT clip, n, (s * fps + o)::BIGINT AS frame FROM (VALUES (1::BIGINT, 300, 30, 2, 1, 4), (2, 100, 25, 3, 0, 9), (3, 50, 24, 1, 2, 2)) c(clip, n, fps, rate, a, b),
+@query("""SELECT clip, frame FROM (SELECT clip, n, (s * fps + o)::BIGINT AS frame FROM
+ (SELECT doc_id AS clip, n_chars AS n, [30, 25, 24][doc_id % 3 + 1] AS fps, [2, 3, 1, 40][doc_id % 4 + 1] AS rate, doc_id % 4 AS a, doc_id % 4 + doc_id % 7 AS b FROM documents) c,
  LATERAL (SELECT UNNEST(range(a, least(b, ceil(n / fps::DOUBLE)::INT) + 1)) AS s), LATERAL (SELECT UNNEST(list_slice(range(0, fps, greatest(fps // rate, 1)), 1, rate)) AS o)) WHERE frame < n""")
 def q61_per_second_frames(spark, sf_dir):
-    c = _values(spark, [(1, 300, 30, 2, 1, 4), (2, 100, 25, 3, 0, 9), (3, 50, 24, 1, 2, 2)], "clip long, n int, fps int, rate int, a int, b int")
-    return c.select("clip", F.explode(frames.per_second_frames(*(F.col(x) for x in ("n", "fps", "rate", "a", "b")))).alias("frame"))
+    start = (F.col("doc_id") % 4).cast("int")
+    end = start + (F.col("doc_id") % 7).cast("int")
+    picked = frames.per_second_frames(F.col("n_chars").cast("int"), _by_id([30, 25, 24]), _by_id([2, 3, 1, 40]), start, end)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip"), F.explode(picked).alias("frame"))
 
 
 _TURNS = "t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
@@ -210,10 +218,10 @@ def q65_gop_lengths(spark, sf_dir):
     return rows.select("doc_id", "gops", "gop", frames.gop_length(F.col("n_chars"), 12, F.col("gop")).alias("length"))
 
 
-@query("""SELECT len::BIGINT AS len, UNNEST(CASE WHEN len < 2 THEN [] WHEN len - 1 <= 3 THEN range(1, len) ELSE [1, 1 + floor((len - 2) / 2.0::DOUBLE)::BIGINT, len - 1] END)::BIGINT AS position FROM (SELECT UNNEST(range(1, 30)) AS len)""")
+@query("""SELECT doc_id, len, UNNEST(CASE WHEN len < 2 THEN [] WHEN len - 1 <= 3 THEN range(1, len) ELSE [1, 1 + floor((len - 2) / 2.0::DOUBLE)::BIGINT, len - 1] END)::BIGINT AS position FROM (SELECT doc_id, n_chars % 30 AS len FROM documents)""")
 def q66_delta_positions(spark, sf_dir):
-    rows = _values(spark, [(n,) for n in range(1, 30)], "len long")
-    return rows.select("len", F.explode(F.transform(frames.delta_positions(F.col("len"), 3), lambda x: x.cast("long"))).alias("position"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 30).alias("len"))
+    return rows.select("doc_id", "len", F.explode(F.transform(frames.delta_positions(F.col("len"), 3), lambda x: x.cast("long"))).alias("position"))
 
 
 @query(f"WITH {_TURNS} SELECT c.conv_id, p.pos, t.turn, CASE WHEN t.turn IS NULL THEN 0 ELSE 1 END::BIGINT AS mask FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (SELECT UNNEST(range(6)) AS pos) p LEFT JOIN t ON t.conv_id = c.conv_id AND t.pos = p.pos")
@@ -221,12 +229,12 @@ def q67_pad_and_mask(spark, sf_dir):
     return lifecycle.padded_positions(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 6)
 
 
-@query("""SELECT h, w, greatest(224, round_even(h * 224.0::DOUBLE / least(h, w), 0)::BIGINT) AS new_h, greatest(224, round_even(w * 224.0::DOUBLE / least(h, w), 0)::BIGINT) AS new_w,
- (greatest(224, round_even(w * 224.0::DOUBLE / least(h, w), 0)::BIGINT) - 224) // 2 AS left_px FROM (VALUES (100::BIGINT, 200::BIGINT), (60, 90), (40, 120), (480, 640), (333, 500), (224, 224)) v(h, w)""")
+@query("""SELECT doc_id, h, w, greatest(224, round_even(h * (224.0::DOUBLE / least(h, w)), 0)::BIGINT) AS new_h, greatest(224, round_even(w * (224.0::DOUBLE / least(h, w)), 0)::BIGINT) AS new_w,
+ (greatest(224, round_even(w * (224.0::DOUBLE / least(h, w)), 0)::BIGINT) - 224) // 2 AS left_px FROM (SELECT doc_id, 40 + n_chars % 700 AS h, 40 + doc_id * 37 % 900 AS w FROM documents)""")
 def q68_resize(spark, sf_dir):
-    rows = _values(spark, [(100, 200), (60, 90), (40, 120), (480, 640), (333, 500), (224, 224)], "h long, w long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (40 + F.col("n_chars") % 700).alias("h"), (40 + F.col("doc_id") * 37 % 900).alias("w"))
     new_h, new_w = frames.resized(F.col("h"), F.col("w"), 224)
-    return rows.select("h", "w", new_h.alias("new_h"), new_w.alias("new_w"), frames.crop_offset(new_w, 224).alias("left_px"))
+    return rows.select("doc_id", "h", "w", new_h.alias("new_h"), new_w.alias("new_w"), frames.crop_offset(new_w, 224).alias("left_px"))
 
 
 # text
@@ -298,8 +306,9 @@ def q82_projections(spark, sf_dir):
 
 
 @query("""SELECT step, round(CASE WHEN x < 0.1 THEN x / 0.1 ELSE 0.5 * (1 + cos(pi() * x)) END, 9) AS cosine, round(CASE WHEN x < 0.1 THEN x / 0.1 ELSE 1 END, 9) AS constant, round(CASE WHEN x < 0.1 THEN x / 0.1 ELSE greatest((x - 1) / (0.1 - 1), 0) END, 9) AS linear
- FROM (SELECT step, step / 100.0::DOUBLE AS x FROM (SELECT UNNEST(range(101)) AS step))""")
+ FROM (SELECT doc_id AS step, doc_id / (SELECT max(doc_id) + 1 FROM documents)::DOUBLE AS x FROM documents)""")
 def q90_learning_rates(spark, sf_dir):
-    steps = spark.range(101).select(F.col("id").alias("step"), (F.col("id") / 100.0).alias("x"))
-    rates = [F.round(lifecycle.learning_rate(kind, F.col("x"), 0.1), 9).alias(kind) for kind in ("cosine", "constant", "linear")]
-    return steps.select("step", *rates)
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    steps = docs.crossJoin(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("steps"))))  # one row
+    x = F.col("doc_id") / F.col("steps")
+    return steps.select(F.col("doc_id").alias("step"), *(F.round(lifecycle.learning_rate(kind, x, 0.1), 9).alias(kind) for kind in ("cosine", "constant", "linear")))
\ No newline at end of file
