@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,18 +96,33 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.rtrim("value").alias("video_id")).where("video_id <> ''").distinct()
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is directly in each folder; folders and files of any file system that Arrow opens."""
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            store, inner = fs.FileSystem.from_uri(folder if re.match(r"[a-z][a-z0-9+.-]*:", folder) else os.path.abspath(folder))
+            scheme = "file:" if store.type_name == "local" else folder[: len(folder) - len(inner)] if folder.endswith(inner) else f"{store.type_name}://"
+            found = store.get_file_info(fs.FileSelector(inner))
+            columns = [[scheme + f.path for f in found], [f.size or 0 for f in found], [f.type == fs.FileType.Directory for f in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()))], names=["path", "length", "folder"])
+
+
 def files_below(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, name, stem, extension) of every file below a folder; contents aren't read.
 
-    The listing is the one that Spark's driver makes for a scan: a scan itself leaves out empty files.
+    Tasks list the folders, level by level, so the driver holds no listing: only whether a level has folders of its own.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "value string")
-    path = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
-    files = listed.select(F.regexp_replace(path, "^file:/+", "file:/").alias("path"))
+    level, found = spark.createDataFrame([(folder,)], "path string"), None
+    while True:
+        here = level.mapInArrow(_listed, "path string, length long, folder boolean").persist()
+        files = here.where("not folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        level = here.where("folder").select("path")
+        if level.isEmpty():
+            break
+        level = level.repartition(spark.sparkContext.defaultParallelism)
     name = F.element_at(F.split("path", "/"), -1)
-    files = files.join(scan.select("path", "length"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
-    return files.select("path", "length", name.alias("name"), stem(name).alias("stem"), extension(name).alias("extension"))
+    return found.select("path", "length", name.alias("name"), stem(name).alias("stem"), extension(name).alias("extension"))
 
 
 def videos_below(spark: SparkSession, folder: str) -> DataFrame:
