@@ -36,7 +36,8 @@ def norm(v) -> Column:
 def normalized(v, floor: bool = True) -> Column:
     """v over its length; with a floor zero vectors stay zero, without one they become NaN."""
     length = F.greatest(norm(v), F.lit(EPS32)) if floor else norm(v)
-    return F.transform(v, lambda x: x.cast("double") / length)
+    # beside the components, so that it is computed once and not once a component
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def all_finite(v) -> Column:
