@@ -6,6 +6,11 @@ Spark, and the diagonals of the joined hits are verified token by token, with su
 outgrows the filter, more positions reach the join and the result stays the same. Items too short for this are found by
 a hash of all their tokens, in the same way.
 
+Seeds that many items hold, such as those of a phrase that all items of a benchmark begin with, would join every holder
+among the documents with every item. Their places carry features instead: each token around the place with its distance
+from it. A pair that overlaps there has a known number of equal features at least, so it shares one among the rarest
+features of both sides (prefix filtering), and only pairs that do are verified.
+
 With a quarter of the tokens changed at random, an overlap of 12 tokens keeps a whole seed with a probability of 0.99,
 and one of 8 tokens, whose items get lighter masks, with 0.95.
 """
@@ -31,8 +36,14 @@ BITS_EACH, LEAST_BITS, MOST_BITS, PROBES, SEGMENT = 128, 1 << 18, 1 << 29, 4, 1
 #: Verified overlaps have at least so many tokens, such a share of equal ones, and such a share of the item,
 #: or LONG_TOKENS tokens.
 MIN_TOKENS, SIMILARITY, ITEM_SHARE, LONG_TOKENS = 8, 0.75, 0.5, 20
+#: Seeds with more places than this in the items are joined by the tokens around them, so many on either side; pairs of
+#: a document are verified in blocks of about so many items.
+HOT, REACH, BLOCK = 64, 20, 1024
+#: Places whose features a task holds at once.
+_HELD = 1 << 13
 _PUNCTUATION = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
 _PLACES = odd_numbers(16, 21)
+_AROUND = odd_numbers(2 * REACH + max(map(len, MASKS + LIGHT_MASKS)), 22)
 _BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)
 #: Letters of scripts without spaces (Thai to Khmer, kana, Han), each a token; their punctuation and wide marks are spaces.
 _SINGLE = re.compile("([\u0e01-\u0e4e\u0e81-\u0edf\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
@@ -164,6 +175,59 @@ def bloom_filter(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each place (seed, at, need) of a row with its features: hashes of seed, need, a token nearby and its distance."""
+
+    def batch_of(out):
+        values = pa.array(np.concatenate([o[4] for o in out]).view(np.int64))
+        ends = np.cumsum([0] + [len(o[4]) for o in out], dtype=np.int32)
+        columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=["row", "seed", "at", "need", "features"])
+
+    for batch in batches:
+        out = []
+        for row, data, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            found = np.frombuffer(data.as_buffer(), np.uint64)
+            for p in places:
+                seed, at, need = (p[k].as_py() for k in ("seed", "at", "need"))
+                low = max(0, at - REACH)
+                part = found[low : at - REACH + len(_AROUND)]
+                salt = np.uint64((seed + need * 0x9E3779B97F4A7C15) % 2**64)
+                out.append((row, seed, at, need, mixed(part * _AROUND[low - at + REACH :][: len(part)] + salt)))
+                if len(out) == _HELD:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+
+def _featured(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """Places (row, seed, at, need) with features, by the tokens of texts (row, tokens)."""
+    mine = places.groupBy("row").agg(F.collect_list(F.struct("seed", "at", "need")).alias("places")).join(texts, "row")
+    return mine.select("row", "tokens", "places").mapInArrow(_around, "row long, seed long, at int, need int, features array<long>")
+
+
+def _rarest(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """(feature, row, at): of the h features of a place that items have, the h - need + 1 that fewest items have.
+    Places that share need features share one of these; where h is below need there are none."""
+    known = places.select("row", "seed", "at", "need", F.explode("features").alias("feature")).join(counts, "feature")
+    ordered = known.groupBy("row", "seed", "at", "need").agg(F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f"))
+    return ordered.select("row", "at", F.explode(F.expr("slice(f.feature, 1, greatest(0, size(f) - need + 1))")).alias("feature"))
+
+
+def _hot_pairs(at: DataFrame, flat: DataFrame, hot: DataFrame, hits: DataFrame, tests: DataFrame) -> DataFrame:
+    """(doc_row, item_row, diagonal) of the places under hot seeds that may overlap."""
+    held = flat.join(sized(hot), "seed").select(F.col("item_row").alias("row"), "seed", F.col("item_at").alias("at"), "need")
+    held = written(_featured(held, tests.select(F.col("item_row").alias("row"), F.col("item").alias("tokens"))), "held")
+    counts = written(held.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n")), "counts")
+    needs = written(held.select("seed", "need").distinct(), "needs")
+    met = at.join(sized(needs), "seed").select(F.col("doc_row").alias("row"), "seed", F.col("doc_at").alias("at"), "need")
+    met = _featured(met, hits.select(F.col("doc_row").alias("row"), "tokens"))
+    ours = _rarest(met, sized(counts)).select("feature", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"))
+    theirs = _rarest(held, sized(counts)).select("feature", F.col("row").alias("item_row"), F.col("at").alias("item_at"))
+    return ours.join(theirs, "feature").select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+
+
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
     """(start in doc, tokens, equal tokens) of the segment with most equal tokens that keeps SIMILARITY."""
     best = (0, 0, 0)
@@ -197,6 +261,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
+def _without(flat: DataFrame, hot: DataFrame) -> DataFrame:
+    """Places under seeds that aren't hot."""
+    return written(flat.join(sized(hot), "seed", "left_anti").select("seed", "item_row", "item_at"), "cold")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: doc_id, item_id, start_token, n_tokens, n_equal, item_tokens; one row for each pair.
 
@@ -209,11 +278,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(items.mapInArrow(_items, "item_id long, item binary, seeds array<struct<seed:long,at:int>>"), "items")
     tests = items.withColumn("item_row", F.monotonically_increasing_id())
     tests = written(tests, "tests")
-    flat = tests.select("item_row", F.explode("seeds").alias("s")).select("item_row", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
+    size = (F.length("item") / 8).cast("int")
+    least = F.least(F.lit(LONG_TOKENS), F.greatest(F.lit(MIN_TOKENS), F.ceil(size * ITEM_SHARE)))
+    # equal tokens of an overlap at least; items below MIN_TOKENS meet under a hash of all their tokens, which is enough
+    need = F.when(size >= MIN_TOKENS, F.ceil(least * SIMILARITY).cast("int"))
+    flat = tests.select("item_row", need.alias("need"), F.explode("seeds").alias("s"))
+    flat = written(flat.select("item_row", "need", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")), "flat")
+    hot = written(flat.where("need is not null").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("seed"), "hot")
 
     # bounded by MOST_BITS
     packed = docs.sparkSession.sparkContext.broadcast(bloom_filter(flat.select("seed")))
-    size = (F.length("item") / 8).cast("int")
     lengths = [r[0] for r in tests.select(F.least(size, F.lit(LIGHT_TOKENS))).distinct().collect()]  # at most LIGHT_TOKENS
     short, light = sorted(n for n in lengths if n < MIN_TOKENS), any(MIN_TOKENS <= n < LIGHT_TOKENS for n in lengths)
 
@@ -224,10 +298,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = source.mapInArrow(find, "doc_id long, tokens binary, hits array<struct<seed:long,at:int>>")
     hits = written(hits.withColumn("doc_row", F.monotonically_increasing_id()), "hits")
     at = hits.select("doc_row", F.explode("hits").alias("h")).select("doc_row", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at"))
-    pairs = at.join(sized(written(flat, "flat")), "seed").select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
-    pairs = pairs.groupBy("doc_row", "item_row").agg(F.collect_set("diagonal").alias("diagonals"))
-    # a document meets its items together, so that its tokens travel once; these are no more than it has places for
-    met = pairs.join(tests.select("item_row", "item_id", "item"), "item_row").groupBy("doc_row").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("met"))
+    pairs = at.join(sized(_without(flat, hot)), "seed").select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(at, flat, hot, hits, tests))
+    pairs = written(pairs.groupBy("doc_row", "item_row").agg(F.collect_set("diagonal").alias("diagonals")), "pairs")
+    # a document meets its items together, so that its tokens travel once; where these are many, in blocks
+    many = written(pairs.groupBy("doc_row").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "many")
+    dealt = pairs.join(sized(many), "doc_row", "left")
+    block = F.pmod(F.xxhash64("item_row"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("long"))
+    met = dealt.withColumn("block", block).join(tests.select("item_row", "item_id", "item"), "item_row")
+    met = met.groupBy("doc_row", "block").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("met"))
     whole = met.join(hits.select("doc_row", "doc_id", "tokens"), "doc_row")
     out = whole.select("doc_id", "tokens", "met").mapInArrow(_verify, "doc_id long, item_id long, start_token long, n_tokens long, n_equal long, item_tokens long")
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_tokens", "start_token", "item_tokens")).alias("b")).select("doc_id", "item_id", "b.start_token", "b.n_tokens", "b.n_equal", "b.item_tokens")
