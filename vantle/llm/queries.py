@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_ranked_search": sql.LEXICAL_SEARCH, "op13_filter_audit": sql.FILTER_AUDIT}
+    return {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op12_ranked_search": sql.LEXICAL_SEARCH, "op13_filter_audit": sql.FILTER_AUDIT}

@@ -69,3 +69,30 @@ with q as (
 )
 select * from r where rank <= 50
 """
+
+NEAR_DUPLICATES = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as words from documents
+), c as (
+  select doc_id, words, min(doc_id) over (partition by words) as same from d
+), f as (
+  select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as place from c where len(words) > 0 and doc_id = same
+), s as (
+  select distinct doc_id, array_to_string(words[place : place + 4], ' ') as shingle from f
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b using (shingle) where a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * common >= 75 * (x.n + y.n - common)
+), e as (
+  select a, b from l union all select b, a from l
+), r(a, b) as (
+  select doc_id, doc_id from n union select r.a, e.b from r join e on r.b = e.a
+), m as (
+  select a, min(b) as least from r group by a
+)
+select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least, c.doc_id) as component_id, c.doc_id = coalesce(least, c.doc_id) as kept
+from c left join n on c.same = n.doc_id left join m on c.same = m.a
+"""
