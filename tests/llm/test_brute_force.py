@@ -352,3 +352,15 @@ def test_pipeline_against_plain_stages(spark):
     assert packed.agg(F.sum("length")).first()[0] == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in out)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("doc_id = -1"), SMALL).count() == 0, name
+
+
+def test_long_documents_make_more_packing_groups(spark, monkeypatch):
+    """Groups hold no more pieces on average than stated, whatever the documents' lengths; nulls and no rows at all too."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 10)
+    rows = [(1, "a b " * 50_000), (2, None), (None, ""), (3, "x"), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = packing.pieces(docs, BPE, RANKS)
+    assert cut.count() / packing.group_count(docs) <= 10 and packing.group_count(docs.limit(0)) == 1
+    out = packing.pack_documents(docs, BPE, RANKS).collect()
+    assert sum(r["length"] for r in out) == sum({(r["doc_id"], r["doc_tokens"]): r["doc_tokens"] * (2 if r["doc_id"] == 3 else 1) for r in out}.values())
+    assert len({r["sequence_id"] >> 32 for r in out}) > 1

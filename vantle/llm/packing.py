@@ -2,7 +2,7 @@
 
 Overlong documents are first cut into full windows, each a sequence of its own. What is left of every document is
 shorter than a window; these remainders are packed by best-fit decreasing, where a segment tree indexed by remaining
-capacity finds the tightest open sequence. Remainders are dealt to packing groups of about GROUP_DOCS documents by a
+capacity finds the tightest open sequence. Remainders are dealt to packing groups of about GROUP_PIECES pieces by a
 hash of the piece, so that no task's input grows with the corpus and no key can be hot; at that size the loss against
 one single pack is a fraction of a sequence a group.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from vantle.llm.common import bounded
 
 WINDOW = 2048
-#: Documents in a packing group, on average.
-GROUP_DOCS = 20_000
+#: Pieces in a packing group at most, on average.
+GROUP_PIECES = 20_000
 #: Entries of a worker's table of tokenized words before it starts anew.
 WORD_TABLE = 200_000
 
@@ -184,6 +184,13 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: in
     return source.mapInArrow(_cut(tokenizer, ranks, window, end_id, keep_ids), PIECES + (", ids binary" if keep_ids else ""))
 
 
+def group_count(docs: DataFrame, window: int = WINDOW) -> int:
+    """Packing groups of GROUP_PIECES pieces at most, on average: an id takes a byte of text or more, so a document has no
+    more full windows than its bytes make, and one remainder."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    return (n + (size or 0) // window) // GROUP_PIECES + 1
+
+
 def pack(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to pieces(): gapless from 0 within a sequence, which holds at most window ids.
 
@@ -214,10 +221,10 @@ def pack(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int = WINDOW, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Documents as packed pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Only doc_id and text are read; other columns of any name are ignored. The number of packing groups follows a count
-    of the documents, which Parquet answers from its footers.
+    Only doc_id and text are read; other columns of any name are ignored. The number of packing groups follows the number
+    of pieces.
     """
-    return pack(pieces(docs, tokenizer, ranks, window, end_id, keep_ids), docs.count() // GROUP_DOCS + 1, window)
+    return pack(pieces(docs, tokenizer, ranks, window, end_id, keep_ids), group_count(docs, window), window)
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
