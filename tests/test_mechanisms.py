@@ -97,6 +97,33 @@ def test_bounds_skip_cells_and_change_nothing(spark, monkeypatch, signs, bound):
     assert signs or counter["skipped"].value > 0.3 * counter["met"].value
 
 
+@pytest.mark.parametrize("signs", [False, True])
+def test_one_partition_of_many_queries_is_dealt(spark, monkeypatch, signs):
+    """Vectors with copies, rounded so that scores tie, in one partition: chunks of queries meet shares of items in tasks of
+    their own, and results are those of brute force."""
+    monkeypatch.setattr(search, "MOST_SENT", 100)
+    monkeypatch.setattr(search, "SHARE_BYTES", 60_000)
+    x = np.round(clustered(1500, 12, 15), 1)
+    x[200:500] = x[200]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1)
+    found = search.batch_topk(items, items, 4, signs=signs, exclude_self=True)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got, again = {}, {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    for r in search.rerank(items, items, 20, 4).collect() if signs else ():
+        again.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    y = np.where(x > 0, 1.0, -1.0) if signs else x
+    for q in range(1500):
+        scores = (y[q] @ y.T + 12) / 2 if signs else np.round(y[q] @ y.T, 9)
+        if signs:
+            first = np.lexsort((np.arange(1500), -scores))[:20]
+            assert [i for _, i in sorted(again[q])] == first[np.lexsort((first, -np.round(x[first] @ x[q], 9)))[:4]].tolist()
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -scores))[:4]
+        assert [i for _, i, _ in sorted(got[q])] == best.tolist() and [s for *_, s in sorted(got[q])] == scores[best].tolist()
+
+
 def test_places_are_counted_by_bounds(spark):
     x = np.round(clustered(2000, 8, 10, 3), 2)
     items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartitionByRange(2, "id")

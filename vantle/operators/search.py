@@ -1,6 +1,7 @@
 """Nearest items: single queries natively, query sets through matrix kernels with bounds.
 
-A query set of a measured size goes to every executor once, as one matrix; a larger one is dealt in blocks by an equi-join.
+A small query set goes to every executor once, as one matrix. Of a larger one, chunks meet shares of the items, each pair in
+a task of its own.
 Items are grouped into cells around pivots. A cell's center and radius bound its scores for every query, and pairs of a
 query and a cell that can't change the query's result are skipped without their products.
 """
@@ -9,19 +10,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vantle.functions.vectors import dot, hamming, pack_bits
 
 #: Vectors in a block, and the bytes of query blocks up to which they are sent to every executor.
 BLOCK = 1024
 BROADCAST_BYTES = 64 << 20
-#: Rows of the best so far that a task holds.
-HELD = 4 << 20
+#: Queries that are sent to every executor, at most; more are dealt.
+MOST_SENT = 4 * BLOCK
+#: Results that a task holds, at most, and bytes of its queries with their results and of its items, as doubles.
+HELD, CHUNK_BYTES, SHARE_BYTES = 4 << 20, 32 << 20, 160 << 20
+#: Queries whose scores are computed at once, and the largest product of lengths for which 32-bit floats serve.
+AT_ONCE, LARGEST = 512, 1e30
 
 
 def topk(items: DataFrame, score: Column, k: int, id_column: str = "vec_id") -> DataFrame:
@@ -94,17 +102,6 @@ def _matrices(batch: pa.RecordBatch):
         yield block, ids, np.frombuffer(vectors, np.float64).reshape(len(ids), -1), q_ids, np.frombuffer(q_vectors, np.float64).reshape(len(q_ids), -1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, ties by id. Only what reaches the k-th score is sorted."""
-    if scores.shape[1] > 4 * k:
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        most = int((scores >= least[:, None]).sum(axis=1).max())
-        some = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-        scores, ids = np.take_along_axis(scores, some, axis=1), np.take_along_axis(ids, some, axis=1)
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
-
-
 #: Pivots of a batch of items, at most, and the least items a cell is worth.
 PIVOTS, LEAST_CELL = 16, 64
 #: What rounding may add to a score or a bound.
@@ -133,16 +130,27 @@ def _reach(queries: np.ndarray, norms: np.ndarray, items: np.ndarray) -> tuple[n
     return middle - radius - SLACK, middle + radius + SLACK
 
 
+def _few(hits: np.ndarray) -> np.ndarray:
+    """Places of what is set where little is: eight are looked at together."""
+    hits = hits.ravel()
+    whole = len(hits) // 8 * 8
+    some = (np.flatnonzero(hits[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.r_[some[hits[some]], whole + np.flatnonzero(hits[whole:])]
+
+
 def _signs(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, 1.0, -1.0)
 
 
 class _Kernel:
-    """Queries that meet cells of items; counts the pairs that bounds spared."""
+    """Queries that meet cells of items; counts the pairs that bounds spared. Scores of all pairs are 32-bit products; those
+    that rounding leaves open are computed again in double."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray):
         self.ids, self.queries = ids, queries
         self.norms = np.sqrt((queries**2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            self.single = queries.astype(np.float32)
         self.met = self.skipped = 0
 
     def meet(self, ids: np.ndarray, items: np.ndarray) -> None:
@@ -150,40 +158,138 @@ class _Kernel:
         live = np.flatnonzero(self.settle(low, high, len(ids)))
         self.met += len(self.ids) * len(ids)
         self.skipped += (len(self.ids) - len(live)) * len(ids)
-        for at in range(0, len(live), BLOCK):
-            own = live[at : at + BLOCK]
-            self.take(own, ids, items)
+        if not len(live):
+            return
+        length = np.sqrt((items**2).sum(axis=1).max())
+        wide = not self.norms.max() * length < LARGEST
+        other = items.T if wide else np.ascontiguousarray(items.T, np.float32)
+        for at in range(0, len(live), AT_ONCE):
+            own = live[at : at + AT_ONCE]
+            # no 32-bit product is further off
+            slack = SLACK + (0 if wide else (items.shape[1] + 4) * 2.0**-24) * self.norms[own] * length
+            self.take(own, ids, items, (self.queries if wide else self.single)[own] @ other, slack)
+
+    def scores(self, own: np.ndarray, items: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact scores of queries own and items at, side by side."""
+        out = np.empty(len(own))
+        for k in range(0, len(own), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            out[part] = np.einsum("ij,ij->i", self.queries[own[part]], items[at[part]])
+        return np.round(out, 9)
+
+    def distinct(self, items: np.ndarray) -> np.ndarray | None:
+        """Which items are needed, of items in the order of their ids; None for all."""
+
+    def finish(self, ids: np.ndarray, items: np.ndarray) -> None:
+        """The last step of a task that holds all its items."""
 
 
 class _Nearest(_Kernel):
-    """The k best items of each query."""
+    """The k best items of each query. exact: beside the score by signs, that of the vectors themselves."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, signs: bool, exclude_self: bool):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, signs: bool, exclude_self: bool, exact: bool = False):
+        self.own = queries if exact else None
         super().__init__(ids, _signs(queries) if signs else queries)
         self.k, self.signs, self.exclude_self = k, signs, exclude_self
         self.best = np.full((len(ids), k), -np.inf)
         self.held = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def prepared(self, items: np.ndarray) -> np.ndarray:
-        return _signs(items) if self.signs else items
+        return _signs(items) if self.signs else items.astype(np.float64, copy=False)
+
+    def distinct(self, items: np.ndarray) -> np.ndarray:
+        """Of equal vectors the first k, and one more for a query that is itself left out: no other is ever among the best."""
+        data = np.ascontiguousarray(items).view(np.uint32)
+        key = np.zeros(len(data), np.uint64)
+        for column in data.T:
+            key = _spread(key + column)
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, key[order[1:]] != key[order[:-1]]]
+        same = np.flatnonzero(~new)  # what unlike vectors with equal keys hide is kept
+        new[same] = (data[order[same]] != data[order[same - 1]]).any(axis=1)
+        starts = np.flatnonzero(new)
+        return np.sort(order[np.arange(len(order)) - starts[np.cumsum(new) - 1] <= self.k])
 
     def settle(self, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
         if self.signs:
             high = (high + self.queries.shape[1]) / 2
         return high >= self.best[:, -1]
 
-    def take(self, own: np.ndarray, ids: np.ndarray, items: np.ndarray) -> None:
-        scores = self.queries[own] @ items.T
-        scores = (scores + items.shape[1]) / 2 if self.signs else np.round(scores, 9)
+    def take(self, own: np.ndarray, ids: np.ndarray, items: np.ndarray, scores: np.ndarray, slack: np.ndarray) -> None:
+        width, least = items.shape[1], self.best[own, -1]
+        if self.signs:  # exact; where only larger ids come, equal scores change nothing
+            least = 2 * least - width + np.where(self.held[own, -1] < ids.min(), 1, 0)
+        else:
+            least = least - slack
+        if len(ids) > self.k + 1 and (empty := np.flatnonzero(least == -np.inf)).size:
+            # so many items of these alone reach it, without the query's own
+            reached = np.partition(scores[empty], -self.k - 1, axis=1)[:, -self.k - 1] - 2 * slack[empty]
+            least[empty] = np.where(np.isnan(reached), -np.inf, reached)
+        row, at = np.divmod(_few(scores >= np.nextafter(least.astype(np.float32), -np.inf, dtype=np.float32)[:, None]), len(ids))
         if self.exclude_self:
-            scores[self.ids[own][:, None] == ids[None, :]] = -np.inf
-        best, names = _best(scores, np.broadcast_to(ids, scores.shape), self.k)
-        self.best[own], self.held[own] = _best(np.hstack([self.best[own], best]), np.hstack([self.held[own], names]), self.k)
+            other = self.ids[own[row]] != ids[at]
+            row, at = row[other], at[other]
+        found = (scores[row, at].astype(np.float64) + width) / 2 if self.signs else self.scores(own[row], items, at)
+        row, names = own[row], ids[at]
+        last = self.best[row, -1]
+        better = (found > last) | ((found == last) & (names < self.held[row, -1]))
+        if better.any():
+            self.more.append((row[better], found[better], names[better]))
+            self.waiting += int(better.sum())
+        if self.waiting > len(self.ids) * self.k // 2:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.more:
+            return
+        row, score, name = (np.concatenate(c) for c in zip(*self.more))
+        self.more, self.waiting = [], 0
+        if self.signs and self.joined(row, score, name):
+            return
+        mine = np.unique(row)
+        row, score, name = np.r_[row, np.repeat(mine, self.k)], np.r_[score, self.best[mine].ravel()], np.r_[name, self.held[mine].ravel()]
+        order = np.lexsort((name, -score, row))
+        row = row[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(row) != 0])
+        first = order[(starts[:, None] + np.arange(self.k)).ravel()]
+        self.best[mine], self.held[mine] = score[first].reshape(-1, self.k), name[first].reshape(-1, self.k)
+
+    def joined(self, row: np.ndarray, score: np.ndarray, name: np.ndarray) -> bool:
+        """merge() for whole scores and ids below 2**40, which sort as one number, if no query has far more than others."""
+        counts = np.bincount(row, minlength=len(self.ids))
+        wide, most = self.k + int(counts.max()), self.queries.shape[1] + 1
+        if name.min() < 0 or name.max() >> 40 or most >> 20 or wide * len(counts) > 4 * (self.k * len(counts) + len(row)):
+            return False
+        none = np.iinfo(np.int64).max
+        keys = np.full((len(counts), wide), none)
+        some = np.isfinite(self.best)
+        keys[:, : self.k][some] = ((most - self.best[some]).astype(np.int64) << 40) + self.held[some]
+        order = np.argsort(row, kind="stable")
+        row, starts = row[order], np.cumsum(counts) - counts
+        keys[row, self.k + np.arange(len(row)) - starts[row]] = ((most - score[order]).astype(np.int64) << 40) + name[order]
+        keys = np.sort(keys, axis=1)[:, : self.k]
+        some = keys < none
+        self.best = np.where(some, most - (keys >> 40), -np.inf)
+        self.held = np.where(some, keys & ((1 << 40) - 1), none)
+        return True
+
+    def finish(self, ids: np.ndarray, items: np.ndarray) -> None:
+        self.merge()
+        if self.own is not None:
+            self.queries = self.own
+            row, at = np.nonzero(np.isfinite(self.best))
+            self.again = np.full(self.best.shape, -np.inf)
+            self.again[row, at] = self.scores(row, items, np.searchsorted(ids, self.held[row, at]))
 
     def rows(self) -> pa.RecordBatch:
+        self.merge()
         keep = np.isfinite(self.best).ravel()
-        out = [np.repeat(self.ids, self.k)[keep], self.held.ravel()[keep], self.best.ravel()[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "item_id", "score"])
+        out = {"query_id": np.repeat(self.ids, self.k)[keep], "item_id": self.held.ravel()[keep], "score": self.best.ravel()[keep]}
+        if self.own is not None:
+            out["exact"] = self.again.ravel()[keep]
+        return pa.RecordBatch.from_pydict(out)
 
 
 class _Places(_Kernel):
@@ -205,20 +311,85 @@ class _Places(_Kernel):
         self.greater[above] += n
         return ~above & (high >= self.truth)
 
-    def take(self, own: np.ndarray, ids: np.ndarray, items: np.ndarray) -> None:
-        scores, mine = np.round(self.queries[own] @ items.T, 9), self.truth[own][:, None]
-        same = scores == mine
-        self.greater[own] += (scores > mine).sum(axis=1)
-        self.equal[own] += same.sum(axis=1)
-        self.before[own] += (same & (ids[None, :] < self.own[own][:, None])).sum(axis=1)
+    def take(self, own: np.ndarray, ids: np.ndarray, items: np.ndarray, scores: np.ndarray, slack: np.ndarray) -> None:
+        truth = self.truth[own]
+        high = scores > np.nextafter((truth + slack).astype(np.float32), np.inf, dtype=np.float32)[:, None]
+        self.greater[own] += np.count_nonzero(high, axis=1)
+        near = (scores >= np.nextafter((truth - slack).astype(np.float32), -np.inf, dtype=np.float32)[:, None]) > high
+        row, at = np.divmod(_few(near), len(ids))
+        found = np.round(scores[row, at].astype(np.float64), 9) if self.signs else self.scores(own[row], items, at)
+        same = found == truth[row]
+        count = lambda kept: np.bincount(row[kept], minlength=len(own))
+        self.greater[own] += count(found > truth[row])
+        self.equal[own] += count(same)
+        self.before[own] += count(same & (ids[at] < self.own[own[row]]))
 
     def rows(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (self.ids, self.greater, self.equal, self.before)], names=["query_id", "greater", "equal", "before"])
 
 
-def _through(kernel: Callable[..., _Kernel], queries: DataFrame, items: DataFrame, schema: str, size: int, cells: int, counter: dict | None) -> DataFrame:
-    """A kernel's rows for all queries over all items, a task's results together. size: bytes of queries and results;
-    cells: values of results that a task holds for a query. counter gets accumulators met and skipped."""
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of whole numbers."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def _dealt(vectors: DataFrame, width: int, parts: int, part: str, other: str, others: int) -> DataFrame:
+    """(cell, ids, vectors): rows of (id, vector) in matrices, dealt by id to parts; each goes to cells of all the others.
+    Vectors that 32-bit floats hold travel as such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, matrix = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1))
+            if len(ids) and matrix.shape[1] != width:
+                raise ValueError("vectors differ in length")
+            with np.errstate(over="ignore"):
+                single = matrix.astype(np.float32)
+            mine = (_spread(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            rows = [np.flatnonzero(mine == p) for p in range(parts)]
+            rows = {p: r for p, r in enumerate(rows) if len(r)}
+            sent = single if np.array_equal(single, matrix) else matrix
+            out = [list(rows), [ids[r].tobytes() for r in rows.values()], [sent[r].tobytes() for r in rows.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.binary(), pa.binary()))], names=[part, "ids", "vectors"])
+
+    dealt = vectors.mapInArrow(run, f"{part} int, ids binary, vectors binary")
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("chunk", "share", "ids", "vectors")
+
+
+def _table(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and vectors of dealt rows, in the order of ids."""
+    ids = [np.frombuffer(x, np.int64) for x in rows["ids"].to_pylist()]
+    parts = [np.frombuffer(x.as_buffer(), np.float64 if len(x.as_buffer()) == 8 * width * len(i) else np.float32).reshape(len(i), -1) for x, i in zip(rows["vectors"], ids)]
+    names, matrix = np.concatenate(ids), np.concatenate(parts)
+    order = np.argsort(names, kind="stable")
+    return names[order], matrix[order]
+
+
+class Shape(NamedTuple):
+    """Rows of a table of vectors, and components of each."""
+
+    rows: int
+    width: int
+
+
+def shape(vectors: DataFrame) -> Shape:
+    n, width = vectors.agg(F.count("*"), F.max(F.size(vectors.columns[1]))).first()
+    return Shape(n, width or 0)
+
+
+def grid(queries: Shape, items: Shape, cells: int, parallelism: int) -> tuple[int, int]:
+    """(chunks of queries, shares of items): a chunk's queries and results and a share's items fit in a task, and there are
+    enough pairs of a chunk and a share for all cores."""
+    chunks = max(-(-queries.rows * 8 * (queries.width + 1 + 2 * cells) // CHUNK_BYTES), -(-queries.rows * cells // HELD), 1)
+    shares = max(-(-items.rows * 8 * (items.width + 1) // SHARE_BYTES), 1)
+    # more chunks cost no results; shares do
+    chunks = max(chunks, min(-(-queries.rows // BLOCK), -(-3 * parallelism // shares)))
+    return chunks, max(shares, min(-(-items.rows // (8 * BLOCK)), -(-3 * parallelism // chunks)))
+
+
+def _through(kernel: Callable[..., _Kernel], queries: DataFrame, items: DataFrame, schema: str, cells: int, shapes: tuple[Shape, Shape] | None, counter: dict | None, whole_table: bool = False) -> DataFrame:
+    """A kernel's rows for all queries over all items, a task's results together. cells: values of results that a task holds
+    for a query; whole_table: tasks need all their items at once. counter gets accumulators met and skipped."""
     spark = queries.sparkSession
     counts = None
     if counter is not None:
@@ -230,7 +401,8 @@ def _through(kernel: Callable[..., _Kernel], queries: DataFrame, items: DataFram
             counts[1].add(found.skipped)
         return found.rows()
 
-    if size <= BROADCAST_BYTES:
+    asked = shapes[0] if shapes else shape(queries)
+    if asked.rows <= MOST_SENT and asked.rows * 8 * (asked.width + 1 + 2 * cells) <= BROADCAST_BYTES and not whole_table:
         rows = queries.toArrow().combine_chunks()
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
         matrix = _matrix(columns[1]) if len(rows) else np.zeros((0, 1))
@@ -247,33 +419,42 @@ def _through(kernel: Callable[..., _Kernel], queries: DataFrame, items: DataFram
 
         return items.mapInArrow(whole, schema)
 
-    def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Kernel] = {}
-        for batch in batches:
-            for block, ids, vectors, q_ids, q_vectors in _matrices(batch):
-                found = held.get(block) or held.setdefault(block, kernel(q_ids, q_vectors))
-                for part in _cells(ids, found.prepared(vectors)):
-                    found.meet(*part)
-                if sum(len(x.ids) for x in held.values()) * cells > HELD:
-                    yield from map(counted, held.values())
-                    held = {}
-        yield from map(counted, held.values())
-
-    return block_pairs(queries, items, size).mapInArrow(blockwise, schema)
-
-
-def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False, exclude_self: bool = False, query_bytes: int | None = None, counter: dict | None = None) -> DataFrame:
+    held = shapes[1] if shapes else asked if items is queries else shape(items)
+    chunks, shares = grid(asked, held, cells, spark.sparkContext.defaultParallelism)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def met(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not (one.num_rows and other.num_rows):
+            return arrow.empty_table()
+        found = kernel(*(x.astype(np.int64 if x.ndim == 1 else np.float64, copy=False) for x in _table(one, asked.width)))
+        ids, matrix = _table(other, held.width)
+        if (needed := found.distinct(matrix)) is not None and len(needed) < len(ids):
+            found.met += len(found.ids) * (len(ids) - len(needed))
+            found.skipped += len(found.ids) * (len(ids) - len(needed))
+            ids, matrix = ids[needed], matrix[needed]
+        for at in range(0, len(ids), 4 * BLOCK):
+            for part in _cells(ids[at : at + 4 * BLOCK], found.prepared(matrix[at : at + 4 * BLOCK])):
+                found.meet(*part)
+        found.finish(ids, matrix)
+        return pa.Table.from_batches([counted(found)])
+
+    sides = [_dealt(queries, asked.width, chunks, "chunk", "share", shares), _dealt(items, held.width, shares, "share", "chunk", chunks)]
+    # several times as many partitions as cells, so that few tasks get two
+    one, other = (side.repartition(4 * chunks * shares, "chunk", "share").groupBy("chunk", "share") for side in sides)
+    return one.cogroup(other).applyInArrow(met, schema)
+
+
+def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False, exclude_self: bool = False, shapes: tuple[Shape, Shape] | None = None, counter: dict | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items of every query; inputs are (id, vector).
 
     signs scores the components' signs: the number of equal ones. A task keeps the k best of each query over all its
-    items, so the last ranking sees k rows for each query and task. counter, a dict, gets accumulators of the pairs met
+    items, so the last ranking sees k rows for each query and task. shapes, of queries and items, are measured unless given. counter, a dict, gets accumulators of the pairs met
     and of those skipped by bounds.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    size = vector_bytes(queries, 2 * k) if query_bytes is None else query_bytes
     kernel = lambda ids, matrix: _Nearest(ids, matrix, k, signs, exclude_self)
-    found = _through(kernel, queries, items, "query_id long, item_id long, score double", size, k, counter)
+    found = _through(kernel, queries, items, "query_id long, item_id long, score double", k, shapes, counter)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -281,10 +462,12 @@ def batch_topk(queries: DataFrame, items: DataFrame, k: int, signs: bool = False
 def agreements(kinds: dict[str, DataFrame], base: str, k: int) -> DataFrame:
     """(packing, overlap, agreement): what share of the base's k neighbours each kind's neighbours hold, mean over the
     rows; kinds are (id, vector). Every kind's neighbours are found once and meet in one aggregation."""
-    size = vector_bytes(kinds[base], 2 * k)
-    near = [batch_topk(v, v, k, exclude_self=True, query_bytes=size).select("query_id", "item_id", F.lit(name).alias("packing")) for name, v in kinds.items()]
-    held = reduce(DataFrame.union, near).groupBy("query_id", "item_id").agg(F.collect_set("packing").alias("kinds"))
-    each = held.where(F.array_contains("kinds", base)).select(F.explode("kinds").alias("packing"))
+    size = shape(kinds[base])
+    near = [batch_topk(v, v, k, exclude_self=True, shapes=(size, size)).select("query_id", "item_id", F.lit(1 << i).alias("kind")) for i, v in enumerate(kinds.values())]
+    held = reduce(DataFrame.union, near).groupBy("query_id", "item_id").agg(F.bit_or("kind").alias("kinds"))
+    names = list(kinds)
+    has = lambda name: F.col("kinds").bitwiseAND(F.lit(1 << names.index(name))) != 0
+    each = held.where(has(base)).select(F.explode(F.array_compact(F.array(*(F.when(has(n), F.lit(n)) for n in names)))).alias("packing"))
     rows = kinds[base].agg(F.count("*").alias("rows"))  # one row
     counted = each.groupBy("packing").agg(F.count("*").alias("overlap")).crossJoin(F.broadcast(rows))
     return counted.select("packing", "overlap", (F.col("overlap") / (F.col("rows") * k)).alias("agreement"))
@@ -299,11 +482,14 @@ def agreement(one: DataFrame, other: DataFrame, k: int) -> DataFrame:
 
 def rerank(queries: DataFrame, items: DataFrame, candidates: int, k: int) -> DataFrame:
     """The k best by exact score among each query's candidates by signs."""
-    first = batch_topk(queries, items, candidates, signs=True).select("query_id", "item_id")
-    both = first.join(queries.toDF("query_id", "q"), "query_id").join(items.toDF("item_id", "v"), "item_id")
-    scored = both.select("query_id", "item_id", F.round(dot("q", "v"), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    if candidates < 1 or k < 1:
+        raise ValueError("k must be at least 1")
+    kernel = lambda ids, matrix: _Nearest(ids, matrix, candidates, True, False, exact=True)
+    found = _through(kernel, queries, items, "query_id long, item_id long, score double, exact double", candidates, None, None, whole_table=True)
+    ranked = lambda column: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(column), "item_id")).cast("long")
+    first = found.withColumn("place", ranked("score")).where(F.col("place") <= candidates)
+    scored = first.select("query_id", "item_id", F.col("exact").alias("score"))
+    return scored.withColumn("rank", ranked("score")).where(F.col("rank") <= k)
 
 
 def truth_places(queries: DataFrame, items: DataFrame, truth: DataFrame, signs: bool = False, counter: dict | None = None) -> DataFrame:
@@ -313,7 +499,7 @@ def truth_places(queries: DataFrame, items: DataFrame, truth: DataFrame, signs:
     asked = paired.select(F.col("query_id"), F.concat(F.array(F.col("item_id").cast("double")), F.transform("v", lambda x: x.cast("double")), F.transform("q", lambda x: x.cast("double"))).alias("vector"))
 
     kernel = lambda ids, wide: _Places(ids, wide, signs)
-    counts = _through(kernel, asked, items, "query_id long, greater long, equal long, before long", vector_bytes(asked), 3, counter)
+    counts = _through(kernel, asked, items, "query_id long, greater long, equal long, before long", 3, None, counter)
     return counts.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("greater", "equal", "before")))
 
 
