@@ -144,13 +144,12 @@ _COSINES = f"""cosines AS (SELECT p.packing, round(avg(list_inner_product(p.e, f
 
 
 def _mean_cosines(spark, sf_dir):
-    kinds = _unpacked(spark, sf_dir)
-    base, out = kinds["float32"].withColumnRenamed("v", "f"), None
-    for k in ("float32", "float16", "int8"):
-        cosine = V.dot("v", "f") / V.norm("v") / V.norm("f")
-        part = kinds[k].join(base, "vec_id").agg(F.round(F.avg(cosine), 6).alias("cosine")).select(F.lit(k).alias("packing"), "cosine")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = vectors(spark, sf_dir).select(F.transform("embedding", lambda x: x.cast("double")).alias("float32"), V.pack_half("embedding").alias("float16"), V.int8_scale("embedding").alias("s"), V.pack_int8("embedding").alias("c"))
+    rows = rows.withColumn("int8", V.unpack_int8("c", "s"))
+    cosine = lambda k: V.dot(k, "float32") / V.norm(k) / V.norm("float32")
+    kinds = ("float32", "float16", "int8")
+    means = rows.agg(*(F.round(F.avg(cosine(k)), 6).alias(k) for k in kinds))
+    return means.select(F.inline(F.array(*(F.struct(F.lit(k).alias("packing"), F.col(k).alias("cosine")) for k in kinds))))
 
 
 @query(f"WITH {_PACKED}, {_COSINES} SELECT packing, cosine FROM cosines")
